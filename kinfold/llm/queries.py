@@ -1,8 +1,12 @@
 """The queries of this subpackage, by name, and SQL for those that SQL can express."""
 
+from .bpe_chunks import op6_bpe_chunks
+from .token_counts import op9_token_counts
 from .token_files import op5_token_files
 
 QUERIES = {
     "op5_token_files": op5_token_files,
+    "op6_bpe_chunks": op6_bpe_chunks,
+    "op9_token_counts": op9_token_counts,
 }
 ORACLE_SQL: dict[str, str] = {}

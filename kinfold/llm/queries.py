@@ -1,12 +1,14 @@
 """The queries of this subpackage, by name, and SQL for those that SQL can express."""
 
 from .bpe_chunks import op6_bpe_chunks
+from .decontamination import op2_decontamination
 from .quality import op8_quality_rules
 from .simhash_dedup import op10_simhash_dedup
 from .token_counts import op9_token_counts
 from .token_files import op5_token_files
 
 QUERIES = {
+    "op2_decontamination": op2_decontamination,
     "op5_token_files": op5_token_files,
     "op6_bpe_chunks": op6_bpe_chunks,
     "op8_quality_rules": op8_quality_rules,

@@ -3,6 +3,7 @@
 from .bpe_chunks import op6_bpe_chunks
 from .decontamination import op2_decontamination
 from .quality import op8_quality_rules
+from .sharding import op7_sampled_shards
 from .simhash_dedup import op10_simhash_dedup
 from .token_counts import op9_token_counts
 from .token_files import op5_token_files
@@ -11,6 +12,7 @@ QUERIES = {
     "op2_decontamination": op2_decontamination,
     "op5_token_files": op5_token_files,
     "op6_bpe_chunks": op6_bpe_chunks,
+    "op7_sampled_shards": op7_sampled_shards,
     "op8_quality_rules": op8_quality_rules,
     "op9_token_counts": op9_token_counts,
     "op10_simhash_dedup": op10_simhash_dedup,

@@ -2,6 +2,7 @@
 
 from .bpe_chunks import op6_bpe_chunks
 from .decontamination import op2_decontamination
+from .pii import op1_pii_surrogates
 from .quality import op8_quality_rules
 from .sharding import op7_sampled_shards
 from .simhash_dedup import op10_simhash_dedup
@@ -9,6 +10,7 @@ from .token_counts import op9_token_counts
 from .token_files import op5_token_files
 
 QUERIES = {
+    "op1_pii_surrogates": op1_pii_surrogates,
     "op2_decontamination": op2_decontamination,
     "op5_token_files": op5_token_files,
     "op6_bpe_chunks": op6_bpe_chunks,

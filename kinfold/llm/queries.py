@@ -8,10 +8,12 @@ from .sharding import op7_sampled_shards
 from .simhash_dedup import op10_simhash_dedup
 from .token_counts import op9_token_counts
 from .token_files import op5_token_files
+from .warc import OP4_SQL, op4_warc
 
 QUERIES = {
     "op1_pii_surrogates": op1_pii_surrogates,
     "op2_decontamination": op2_decontamination,
+    "op4_warc": op4_warc,
     "op5_token_files": op5_token_files,
     "op6_bpe_chunks": op6_bpe_chunks,
     "op7_sampled_shards": op7_sampled_shards,
@@ -19,4 +21,6 @@ QUERIES = {
     "op9_token_counts": op9_token_counts,
     "op10_simhash_dedup": op10_simhash_dedup,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_warc": OP4_SQL,
+}

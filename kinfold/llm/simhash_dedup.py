@@ -17,6 +17,7 @@ from itertools import combinations
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import storage
 from .components import components
@@ -26,15 +27,15 @@ CROWD = 512
 PIECE = 4_000_000
 
 
-def vote(text: str | None, words: int, seed: int = 42) -> tuple[np.ndarray, int]:
-    """(for each of 64 bits how many shingle hashes have it, shingles) of a whole text.
+def shingle_hashes(text: str | None, words: int, seed: int = 42):
+    """XXH64 hashes of a whole text's shingles, piece by piece.
 
     Words are runs without ASCII white space, A-Z lower-cased; fewer than ``words`` make one shingle; none, none.
     """
     from xxhash import xxh64_intdigest
 
     raw = (text or "").encode("utf-8", "surrogatepass")
-    votes, n, carry, at = np.zeros(64, dtype=np.int64), 0, [], 0
+    n, carry, at = 0, [], 0
     while True:
         end = min(at + PIECE, len(raw))
         while end < len(raw) and raw[end] not in b" \t\n\r\x0b\x0c":
@@ -49,18 +50,31 @@ def vote(text: str | None, words: int, seed: int = 42) -> tuple[np.ndarray, int]
         else:
             shingles, carry = iter(()), got
         hashes = np.fromiter((xxh64_intdigest(s, seed) for s in shingles), dtype="<u8")
-        for a in range(0, len(hashes), 65536):
-            part = hashes[a : a + 65536]
-            votes += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
         n += len(hashes)
+        yield hashes
         if at == len(raw):
-            return votes, n
+            return
 
 
-def fingerprint(text: str | None, words: int, seed: int = 42) -> int:
-    """As a signed 64-bit number; a bit is 1 if over half the shingle hashes have it."""
-    votes, n = vote(text, words, seed)
-    return int(np.packbits(2 * votes > n, bitorder="little").view("<i8")[0])
+def _remixed(hashes: np.ndarray) -> np.ndarray:
+    """Other 64-bit hashes made of them, for a further independent fingerprint."""
+    x = hashes * np.uint64(0xBF58476D1CE4E5B9) + np.uint64(0x9E3779B97F4A7C15)
+    x ^= x >> np.uint64(31)
+    x *= np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(29)
+
+
+def fingerprint(text: str | None, words: int, seed: int = 42, prints: int = 1) -> list[int]:
+    """``prints`` independent fingerprints as signed 64-bit numbers; a bit is 1 if over half the shingle hashes have it."""
+    votes, n = np.zeros((prints, 64), dtype=np.int64), 0
+    for hashes in shingle_hashes(text, words, seed):
+        n += len(hashes)
+        for k in range(prints):
+            hashes = _remixed(hashes) if k else hashes
+            for a in range(0, len(hashes), 65536):
+                part = hashes[a : a + 65536]
+                votes[k] += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * votes > n, axis=1, bitorder="little").view("<i8").ravel().tolist()
 
 
 def fingerprints(docs: DataFrame, words: int, seed: int = 42) -> DataFrame:
@@ -70,7 +84,7 @@ def fingerprints(docs: DataFrame, words: int, seed: int = 42) -> DataFrame:
         import pyarrow as pa
 
         for batch in storage.slices(batches, "text"):
-            fps = [fingerprint(t, words, seed) for t in batch["text"].to_pylist()]
+            fps = [fingerprint(t, words, seed)[0] for t in batch["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(fps, pa.int64())], names=["doc_id", "fp"])
 
     rows = docs.select(storage.as_long("doc_id").alias("doc_id"), docs["text"].cast("string").alias("text"))
@@ -158,6 +172,80 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, segments:
     return known.join(classes(known, pairs), "fp", "left").select("doc_id", "fp", "component_id")
 
 
+def with_fingerprints(df: DataFrame, words: int, prints: int) -> DataFrame:
+    """All columns of df and ``__fp0``, ``__fp1``, ... of its text."""
+    position, names = df.columns.index("text"), [f"__fp{k}" for k in range(prints)]
+    schema = T.StructType([*df.schema.fields, *(T.StructField(n, T.LongType()) for n in names)])
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in storage.slices(batches, position):
+            rows = np.array([fingerprint(t, words, prints=prints) for t in batch.column(position).to_pylist()], dtype=np.int64).reshape(-1, prints)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(rows[:, k]) for k in range(prints))], names=[f.name for f in schema.fields])
+
+    return df.mapInArrow(run, schema)
+
+
+def alike(edges: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Those edges (a, b: doc_ids) whose documents' shingle sets have at least that Jaccard similarity.  docs: doc_id, text."""
+
+    def sets(batches):
+        import pyarrow as pa
+
+        for batch in storage.slices(batches, "text"):
+            found = [np.unique(np.concatenate(list(shingle_hashes(t, words)))).tobytes() for t in batch["text"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch["node"], pa.array(found, pa.binary())], names=["node", "hashes"])
+
+    def compare(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch["x"].to_pylist(), batch["y"].to_pylist()):
+                m, n = len(x) // 8, len(y) // 8
+                both = np.intersect1d(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8"), assume_unique=True).size
+                keep.append(both >= similarity * (m + n - both))
+            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
+    texts = docs.select(F.col("doc_id").alias("node"), "text").join(nodes, "node", "left_semi").dropDuplicates(["node"])
+    known = storage.staged(texts.mapInArrow(sets, "node long, hashes binary"), "shingle-sets")
+    pairs = edges.join(known.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a").join(known.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
+    return pairs.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
+
+
+def keep_first(docs: DataFrame, words: int = 5, radius: int = 5, segments: int = 3, prints: int = 2, similarity: float = 0.8) -> DataFrame:
+    """docs, with all its columns, but of each group of near-duplicates only the row with the smallest doc_id.
+
+    Documents are linked if one of ``prints`` independent fingerprints differs in ``radius`` bits at most and the shingle sets are alike to ``similarity``.
+    Rows without a doc_id all stay, as there is nothing to tell them by.  Of rows that are equal in doc_id and fingerprints one stays.
+    """
+    held = storage.staged(with_fingerprints(docs.withColumn("doc_id", storage.as_long("doc_id")), words, prints), "with-fingerprints")
+    names = [f"__fp{k}" for k in range(prints)]
+    known = held.where("doc_id is not null").select("doc_id", *names)
+    nodes = storage.staged(known.groupBy(*names).agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("n")), "nodes")
+    edges = None
+    for name in names:
+        first = storage.staged(nodes.groupBy(F.col(name).alias("fp")).agg(F.min("node").alias("first")), "firsts")
+        close = links(first.select("fp"), radius, segments)
+        found = close.join(first.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(first.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+        same = nodes.select(F.col(name).alias("fp"), F.col("node").alias("b")).join(first, "fp").where("b > first").select(F.col("first").alias("a"), "b")
+        found = storage.staged(found.unionByName(same), "close")
+        edges = found if edges is None else edges.unionByName(found)
+    member = components(alike(storage.staged(edges.distinct(), "edges"), held.select("doc_id", F.col("text").cast("string").alias("text")), words, similarity))
+    # A row goes if its node isn't its component's first, or if it isn't its node's first.
+    last = nodes.join(member, "node", "left").where("n > 1 or component < node").select(*names, F.coalesce("component", "node").alias("__first"))
+    lost = storage.staged(known.join(last, names).where("doc_id > __first").select("doc_id", *names).distinct(), "lost")
+    kept = held.join(lost, ["doc_id", *names], "left_anti")
+    again = known.groupBy("doc_id", *names).count().where("count > 1")
+    if not again.isEmpty():
+        twice = storage.staged(again.drop("count"), "twice")
+        one = kept.join(twice, ["doc_id", *names], "left_semi").dropDuplicates(["doc_id", *names])
+        kept = kept.join(twice, ["doc_id", *names], "left_anti").unionByName(one)
+    return kept.select(*docs.columns)
+
+
 def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), words=3, radius=2, segments=2)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -24,6 +24,5 @@ QUERIES = {
     "op10_simhash_dedup": op10_simhash_dedup,
 }
 ORACLE_SQL: dict[str, str] = {
-    "op3_language_id": op3_language_id,
     "op4_warc": OP4_SQL,
 }

@@ -25,7 +25,7 @@ from . import storage, wordbpe
 
 CUT_BITS = 9
 #: Bytes of chunks remembered before the memo is begun anew.
-REMEMBERED_BYTES = 24_000_000
+REMEMBERED_BYTES = 12_000_000
 BLANKS = b" \t\n\r\x0b\x0c"
 _GEAR = np.random.default_rng(7).integers(0, 2**32, size=256, dtype=np.uint32)
 
@@ -144,7 +144,7 @@ def encode_decode(docs: DataFrame, path: str, fields: list[str]) -> DataFrame:
 
     rows = docs.select(storage.as_long("doc_id").alias("doc_id"), docs["text"].cast("string").alias("text"))
     near = rows.repartitionByRange(F.xxhash64(F.lower(F.substring("text", 1, 120))), "doc_id")
-    return near.mapInArrow(run, ", ".join(["doc_id long", *(f"{f} {FIELDS[f]}" for f in fields)]))
+    return storage.arrow_map(near, run, ", ".join(["doc_id long", *(f"{f} {FIELDS[f]}" for f in fields)]))
 
 
 def op6_bpe_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:

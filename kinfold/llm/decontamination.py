@@ -211,7 +211,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 columns = zip(*out) if out else [()] * len(arrow)
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
 
-        found = rows.mapInArrow(run, schema)
+        found = storage.arrow_map(rows, run, schema)
         made = found if made is None else made.unionByName(found)
     return made if made is not None else spark.createDataFrame([], schema)
 
@@ -229,7 +229,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             for batch in storage.slices(batches, position):
                 yield batch.filter(pa.array([not items.matches(t) for t in batch.column(position).to_pylist()], pa.bool_()))
 
-        out = out.mapInArrow(run, docs.schema)
+        out = storage.arrow_map(out, run, docs.schema)
     return out
 
 

@@ -126,7 +126,7 @@ def _frequencies(learn: DataFrame) -> tuple[int, np.ndarray]:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(total[at], n))], names=["bucket", "n"])
 
-    sums = learn.select("text").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    sums = storage.arrow_map(learn.select("text"), count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
     at, n = sums["bucket"].to_numpy(dtype=np.int64), sums["n"].to_numpy(dtype=np.int64)
     out = np.zeros(BUCKETS, dtype=np.int64)
     out[at[at >= 0]] = n[at >= 0]
@@ -173,7 +173,7 @@ def train(docs: DataFrame) -> Model:
             yield pa.RecordBatch.from_arrays([batch["lang"], batch["fitted"], pa.array(at, pa.binary()), pa.array(counts, pa.binary())], names=["lang", "fitted", "at", "counts"])
 
     # The limit only matters where many rows are equal in doc_id and text; it keeps the sample bounded there too.
-    sample = own.select("lang", "fitted", "text").mapInArrow(features, "lang string, fitted boolean, at binary, counts binary").limit(2 * (TRAIN_ROWS + CALIBRATION_ROWS)).collect()
+    sample = storage.arrow_map(own.select("lang", "fitted", "text"), features, "lang string, fitted boolean, at binary, counts binary").limit(2 * (TRAIN_ROWS + CALIBRATION_ROWS)).collect()
     index = {lang: i for i, lang in enumerate(langs)}
     parts: dict[bool, list] = {True: [], False: []}
     for r in sample:
@@ -199,7 +199,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["held_out"], pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
     rows = docs.select("doc_id", held_out().alias("held_out"), "text")
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return storage.arrow_map(rows, run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -90,7 +90,7 @@ def with_measures(df: DataFrame, drop_text: bool = False, name: str = "__measure
             columns = [c for k, c in enumerate(batch.columns) if not (drop_text and k == position)]
             yield pa.RecordBatch.from_arrays([*columns, struct], names=[f.name for f in schema.fields])
 
-    return df.mapInArrow(run, schema)
+    return storage.arrow_map(df, run, schema)
 
 
 def _scores(m: str) -> dict[str, F.Column]:

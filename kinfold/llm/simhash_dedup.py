@@ -88,7 +88,7 @@ def fingerprints(docs: DataFrame, words: int, seed: int = 42) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(fps, pa.int64())], names=["doc_id", "fp"])
 
     rows = docs.select(storage.as_long("doc_id").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    return storage.arrow_map(rows, run, "doc_id long, fp long")
 
 
 def _signed(x: int) -> int:
@@ -184,7 +184,7 @@ def with_fingerprints(df: DataFrame, words: int, prints: int) -> DataFrame:
             rows = np.array([fingerprint(t, words, prints=prints) for t in batch.column(position).to_pylist()], dtype=np.int64).reshape(-1, prints)
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(rows[:, k]) for k in range(prints))], names=[f.name for f in schema.fields])
 
-    return df.mapInArrow(run, schema)
+    return storage.arrow_map(df, run, schema)
 
 
 def alike(edges: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
@@ -210,9 +210,9 @@ def alike(edges: DataFrame, docs: DataFrame, words: int, similarity: float) -> D
 
     nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
     texts = docs.select(F.col("doc_id").alias("node"), "text").join(nodes, "node", "left_semi").dropDuplicates(["node"])
-    known = storage.staged(texts.mapInArrow(sets, "node long, hashes binary"), "shingle-sets")
+    known = storage.staged(storage.arrow_map(texts, sets, "node long, hashes binary"), "shingle-sets")
     pairs = edges.join(known.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a").join(known.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
-    return pairs.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
+    return storage.arrow_map(pairs.select("a", "b", "x", "y"), compare, "a long, b long")
 
 
 def keep_first(docs: DataFrame, words: int = 5, radius: int = 5, segments: int = 3, prints: int = 2, similarity: float = 0.8) -> DataFrame:

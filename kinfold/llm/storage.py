@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 
 DEFAULT_FOLDER = "/tmp/checkpoints"
 #: Characters of text that a Python task turns at a time.
-BATCH_CHARS = 3_000_000
+BATCH_CHARS = 1_500_000
+#: Rows that go to Python in one Arrow batch: few, as texts are long.
+BATCH_ROWS = 1_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -66,6 +68,12 @@ class Writer:
         return self.uri
 
 
+def arrow_map(df: DataFrame, run, schema) -> DataFrame:
+    """df.mapInArrow in batches small enough for long texts."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return df.mapInArrow(run, schema)
+
+
 def slices(batches, column: str, most: int = BATCH_CHARS) -> Iterator:
     """Arrow batches cut so that the texts of one have about ``most`` bytes at most (one text may have more)."""
     import numpy as np

@@ -57,7 +57,7 @@ def token_counts(docs: DataFrame, path: str, limit: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch["doc_id"], size, pa.array(n), pa.array(n > limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     rows = docs.select(storage.as_long("doc_id").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    return rows.mapInArrow(count, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return storage.arrow_map(rows, count, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -186,7 +186,7 @@ def write_tokens(docs: DataFrame, folder: str, path: str, end_id: int = 2, file_
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     tie = F.xxhash64("text")
     ordered = ordered.repartitionByRange(F.col("doc_id").asc_nulls_first(), tie).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), tie)
-    made = ordered.mapInArrow(write, "seq long, part long, uri string, ids long, docs long")
+    made = storage.arrow_map(ordered, write, "seq long, part long, uri string, ids long, docs long")
     return storage.staged(made, "token-manifest")
 
 
@@ -211,7 +211,7 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
     # One row a file, far fewer than documents: a running sum over them needs one small task.
     files = manifest.withColumn("base", F.coalesce(F.sum("ids").over(Window.orderBy("seq", "part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     spread = files.repartition(storage.partitions_for(manifest.sparkSession), "uri")
-    return spread.select("uri", "base").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return storage.arrow_map(spread.select("uri", "base"), read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -148,7 +148,7 @@ def write_warc(pages: DataFrame, folder: str, level: int = 6) -> DataFrame:
             done.append((out.close(), n))
         yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in done], pa.string()), pa.array([k for _, k in done], pa.int64())], names=["uri", "records"])
 
-    return storage.staged(with_roles(pages).mapInArrow(write, "uri string, records long"), "warc-manifest")
+    return storage.staged(storage.arrow_map(with_roles(pages), write, "uri string, records long"), "warc-manifest")
 
 
 def read_warc(manifest: DataFrame, with_payload: bool = False) -> DataFrame:

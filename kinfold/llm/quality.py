@@ -200,9 +200,9 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame, stratum: str = "lang",
 
 def keep_good(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = 0.05, level: float = 0.05) -> DataFrame:
     """The rows of docs that no rule rejects, with the columns that docs has.  Cutoffs come from the labelled rows of docs."""
-    labelled = docs.join(labels.select(storage.as_long("doc_id").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    labelled = labelled.select(storage.as_long("doc_id").alias("doc_id"), F.col("text").cast("string").alias("text"), _stratum(stratum).alias("__stratum"))
-    limits = cutoffs(with_measures(labelled, drop_text=True), labels, risk, level)
+    # All rows are measured twice rather than labelled ones picked out first: a join would move whole texts.
+    skinny = docs.select(storage.as_long("doc_id").alias("doc_id"), F.col("text").cast("string").alias("text"), _stratum(stratum).alias("__stratum"))
+    limits = cutoffs(with_measures(skinny, drop_text=True), labels, risk, level)
     rows = with_measures(docs.withColumn("__stratum", _stratum(stratum)))
     return judged(rows, limits).where("__kept").select(*docs.columns)
 

@@ -5,9 +5,10 @@ most.  So the index holds, for every segment, the segment itself and all its var
 signatures are joined and the pairs verified on all 64 bits.  Only different fingerprints are indexed: copies have met before.  Where a pair differs in
 the wiped bit, one side has it set and the other not, so these two sides are joined and no group is joined with itself.
 
-A segment value that more than ``CROWD`` fingerprints share takes no part in that join: its fingerprints (and those one bit away) are
-keyed by the whole segment and by the rest of the fingerprint with the remaining radius wiped out.  Under such a key there are
-2**r fingerprints at most, all of them linked, so rows stay in proportion to the crowd and no link is lost.
+A segment value that more than ``CROWD`` fingerprints share takes no part in that join.  For radii up to 2 its fingerprints (and those one bit
+away) are keyed by the whole segment and by the rest of the fingerprint with the remaining radius wiped out: under such a key there are 2**r
+fingerprints at most, all of them linked.  For larger radii they are dealt into blocks, every two blocks meet in a group of bounded size, and
+only a minimum spanning forest of the links found there leaves it.  Either way rows stay in proportion to the crowd and no group falls apart.
 """
 
 from __future__ import annotations
@@ -23,6 +24,10 @@ from . import storage
 from .components import components
 
 CROWD = 512
+#: The same for the larger radii of ``keep_first``, where near copies share their segments more often.
+WIDE_CROWD = 64
+#: Fingerprints of a crowd that a task compares with as many others.
+BLOCK = 2048
 #: Bytes of one text turned at a time; longer ones are cut at white space and their votes added.
 PIECE = 4_000_000
 
@@ -110,7 +115,7 @@ def _variants(fps: DataFrame, masks: list[int]) -> DataFrame:
 
 
 def links(fps: DataFrame, radius: int, segments: int, crowd: int = CROWD) -> DataFrame:
-    """Pairs (a, b), a < b, of the different fingerprints in fps (fp) that differ in ``radius`` bits at most."""
+    """Pairs (a, b), a < b, of the different fingerprints in fps (fp) that differ in ``radius`` bits at most; of crowds enough of them to connect what they connect."""
     if not segments > radius / 2:
         raise ValueError("too few segments for this radius")
     masks = segment_masks(segments)
@@ -123,7 +128,7 @@ def links(fps: DataFrame, radius: int, segments: int, crowd: int = CROWD) -> Dat
         of = F.element_at(F.array(*(F.lit(64 + next(k for k, m in enumerate(masks) if m >> bit & 1)) for bit in range(64))), F.col("x.sig") + 1)
         around = crowded.select(F.explode(F.array(*near)).alias("x")).where(of == F.col("x.of")).select("x.sig", "x.key").distinct()
         shut = storage.staged(crowded.unionByName(around), "crowded")
-        found = _crowd_links(variants.join(shut, ["sig", "key"], "left_semi"), masks, radius)
+        found = _crowd_links(variants.join(shut, ["sig", "key"], "left_semi"), masks, radius) if radius <= 2 else _crowd_forests(variants.where("side = 2"), crowded, masks, radius)
         variants = variants.join(shut, ["sig", "key"], "left_anti")
     left = variants.where("side <> 1").select("sig", "key", F.col("fp").alias("a"))
     right = variants.where("side <> 0").select("sig", "key", F.col("fp").alias("b"))
@@ -150,6 +155,47 @@ def _crowd_links(rows: DataFrame, masks: list[int], radius: int) -> DataFrame:
     return made.distinct()
 
 
+def forest(x: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """A minimum spanning forest of the fingerprints x (signed, different) over links within the radius.
+
+    It joins what all links join, and so it does for every smaller radius: the closest links stay.
+    """
+    u, n = x.view(np.uint64), len(x)
+    best, origin, done, out, at = np.full(n, 65, dtype=np.uint8), np.zeros(n, dtype=np.int64), np.zeros(n, dtype=bool), [], 0
+    for _ in range(n - 1):
+        done[at] = True
+        best[at] = 255
+        apart = np.bitwise_count(u ^ u[at])
+        closer = (apart < best) & ~done
+        best[closer] = apart[closer]
+        origin[closer] = at
+        at = int(best.argmin())
+        if best[at] <= radius:
+            out.append((int(x[origin[at]]), int(x[at])))
+    return out
+
+
+def _crowd_forests(whole: DataFrame, crowded: DataFrame, masks: list[int], radius: int) -> DataFrame:
+    """Spanning forests of the links that have an end in a crowded segment value.  whole: fp, sig, key of whole segments."""
+    around = None
+    for k, mask in enumerate(masks):
+        values = F.array(F.col("key"), *(F.col("key").bitwiseXOR(F.lit(_signed(1 << b))) for b in range(64) if mask >> b & 1))
+        part = crowded.where(F.col("sig") == 64 + k).select("sig", F.col("key").alias("centre"), F.explode(values).alias("key"))
+        around = part if around is None else around.unionByName(part)
+    members = whole.join(around, ["sig", "key"]).select("sig", "centre", "fp")
+    blocks = members.groupBy("sig", "centre").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("n"))
+    dealt = members.join(blocks, ["sig", "centre"]).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("n")).cast("int"))
+    met = dealt.select("sig", "centre", "fp", "own", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other")).select("sig", "centre", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "fp")
+
+    def join(pdf):
+        import pandas as pd
+
+        return pd.DataFrame(forest(np.sort(pdf["fp"].to_numpy(dtype=np.int64)), radius), columns=["a", "b"], dtype="int64")
+
+    edges = met.groupBy("sig", "centre", "x", "y").applyInPandas(join, "a long, b long")
+    return edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def classes(docs_fp: DataFrame, pairs: DataFrame) -> DataFrame:
     """fp, component_id (the smallest doc_id among all fingerprints linked to it) for every different fp of docs_fp (doc_id, fp)."""
     first = docs_fp.groupBy("fp").agg(F.min("doc_id").alias("first"))
@@ -209,40 +255,42 @@ def alike(edges: DataFrame, docs: DataFrame, words: int, similarity: float) -> D
             yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
-    texts = docs.select(F.col("doc_id").alias("node"), "text").join(nodes, "node", "left_semi").dropDuplicates(["node"])
+    texts = docs.select(F.col("doc_id").alias("node"), "text").join(nodes.hint("merge"), "node", "left_semi").dropDuplicates(["node"])
     known = storage.staged(storage.arrow_map(texts, sets, "node long, hashes binary"), "shingle-sets")
     pairs = edges.join(known.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a").join(known.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
     return storage.arrow_map(pairs.select("a", "b", "x", "y"), compare, "a long, b long")
 
 
-def keep_first(docs: DataFrame, words: int = 5, radius: int = 5, segments: int = 3, prints: int = 2, similarity: float = 0.8) -> DataFrame:
+def keep_first(docs: DataFrame, words: int = 5, radius: int = 7, segments: int = 4, prints: int = 3, similarity: float = 0.8) -> DataFrame:
     """docs, with all its columns, but of each group of near-duplicates only the row with the smallest doc_id.
 
     Documents are linked if one of ``prints`` independent fingerprints differs in ``radius`` bits at most and the shingle sets are alike to ``similarity``.
-    Rows without a doc_id all stay, as there is nothing to tell them by.  Of rows that are equal in doc_id and fingerprints one stays.
+    Rows without a doc_id all stay, as there is nothing to tell them by.  Of rows that are equal in doc_id and text one stays.
     """
-    held = storage.staged(with_fingerprints(docs.withColumn("doc_id", storage.as_long("doc_id")), words, prints), "with-fingerprints")
     names = [f"__fp{k}" for k in range(prints)]
-    known = held.where("doc_id is not null").select("doc_id", *names)
+    # Texts are met twice more, by doc_id and a hash of the text: by sort-merge at every size, so that a run's needs grow as its input.
+    rows = docs.withColumn("doc_id", storage.as_long("doc_id")).withColumn("__h", F.xxhash64(F.coalesce("text", F.lit(""))))
+    known = with_fingerprints(rows.where("doc_id is not null").select("doc_id", "__h", F.col("text").cast("string").alias("text")), words, prints).drop("text")
+    known = storage.staged(known, "fingerprints")
     nodes = storage.staged(known.groupBy(*names).agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("n")), "nodes")
     edges = None
     for name in names:
         first = storage.staged(nodes.groupBy(F.col(name).alias("fp")).agg(F.min("node").alias("first")), "firsts")
-        close = links(first.select("fp"), radius, segments)
+        close = links(first.select("fp"), radius, segments, crowd=WIDE_CROWD)
         found = close.join(first.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(first.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
         same = nodes.select(F.col(name).alias("fp"), F.col("node").alias("b")).join(first, "fp").where("b > first").select(F.col("first").alias("a"), "b")
         found = storage.staged(found.unionByName(same), "close")
         edges = found if edges is None else edges.unionByName(found)
-    member = components(alike(storage.staged(edges.distinct(), "edges"), held.select("doc_id", F.col("text").cast("string").alias("text")), words, similarity))
+    member = components(alike(storage.staged(edges.distinct(), "edges"), rows.select("doc_id", F.col("text").cast("string").alias("text")), words, similarity))
     # A row goes if its node isn't its component's first, or if it isn't its node's first.
     last = nodes.join(member, "node", "left").where("n > 1 or component < node").select(*names, F.coalesce("component", "node").alias("__first"))
-    lost = storage.staged(known.join(last, names).where("doc_id > __first").select("doc_id", *names).distinct(), "lost")
-    kept = held.join(lost, ["doc_id", *names], "left_anti")
-    again = known.groupBy("doc_id", *names).count().where("count > 1")
+    lost = storage.staged(known.join(last, names).where("doc_id > __first").select("doc_id", "__h").distinct(), "lost")
+    kept = rows.join(lost.hint("merge"), ["doc_id", "__h"], "left_anti")
+    again = known.groupBy("doc_id", "__h").count().where("count > 1")
     if not again.isEmpty():
         twice = storage.staged(again.drop("count"), "twice")
-        one = kept.join(twice, ["doc_id", *names], "left_semi").dropDuplicates(["doc_id", *names])
-        kept = kept.join(twice, ["doc_id", *names], "left_anti").unionByName(one)
+        one = kept.join(twice, ["doc_id", "__h"], "left_semi").dropDuplicates(["doc_id", "__h"])
+        kept = kept.join(twice, ["doc_id", "__h"], "left_anti").unionByName(one)
     return kept.select(*docs.columns)
 
 

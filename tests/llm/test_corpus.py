@@ -41,8 +41,9 @@ def clusters(rng, centres=25, each=30, flips=4):
     return sorted(out)
 
 
-@pytest.mark.parametrize("radius,segments,crowd", [(1, 1, 512), (2, 2, 512), (2, 2, 4), (5, 3, 512)])
-def test_links(spark, radius, segments, crowd):
+@pytest.mark.parametrize("radius,segments,crowd", [(1, 1, 512), (2, 2, 512), (2, 2, 4), (5, 3, 512), (7, 4, 512), (7, 4, 4)])
+def test_links(spark, radius, segments, crowd, monkeypatch):
+    monkeypatch.setattr(simhash_dedup, "BLOCK", 16)
     fps = clusters(np.random.default_rng(radius))
     u = np.array(fps, dtype=np.int64)
     want = {(x, int(y)) for i, x in enumerate(fps) for y in u[i + 1 :][np.bitwise_count((u[i + 1 :] ^ x).view(np.uint64)) <= radius]}

@@ -8,7 +8,8 @@ the wiped bit, one side has it set and the other not, so these two sides are joi
 A segment value that more than ``CROWD`` fingerprints share takes no part in that join.  For radii up to 2 its fingerprints (and those one bit
 away) are keyed by the whole segment and by the rest of the fingerprint with the remaining radius wiped out: under such a key there are 2**r
 fingerprints at most, all of them linked.  For larger radii they are dealt into blocks, every two blocks meet in a group of bounded size, and
-only a minimum spanning forest of the links found there leaves it.  Either way rows stay in proportion to the crowd and no group falls apart.
+only a minimum spanning forest of the links found there leaves it.  Either way rows stay in proportion to the crowd and no group of links falls apart.
+A forest's links must not be thinned further, as by similarity: ``alike`` compares all members of a group anew.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ CROWD = 512
 WIDE_CROWD = 64
 #: Fingerprints of a crowd that a task compares with as many others.
 BLOCK = 2048
+#: Bytes of shingle hashes in a block, so that two blocks of long texts fit a task.
+BLOCK_BYTES = 32_000_000
 #: Bytes of one text turned at a time; longer ones are cut at white space and their votes added.
 PIECE = 4_000_000
 
@@ -233,8 +236,42 @@ def with_fingerprints(df: DataFrame, words: int, prints: int) -> DataFrame:
     return storage.arrow_map(df, run, schema)
 
 
-def alike(edges: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """Those edges (a, b: doc_ids) whose documents' shingle sets have at least that Jaccard similarity.  docs: doc_id, text."""
+def verified_forest(prints: np.ndarray, sets: list[np.ndarray], radius: int, similarity: float) -> list[tuple[int, int]]:
+    """Positions (i, j) of a spanning forest of the links proper: those with a print within the radius and sets (of different hashes) that are alike.
+
+    Every member is compared with all that no tree has reached yet, so whatever all links join is joined.
+    """
+    u, sizes = prints.view(np.uint64), np.array([len(x) for x in sets], dtype=np.int64)
+    names, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    start = np.concatenate([[0], np.cumsum(sizes)])
+    mark, out, todo = np.zeros(len(names), dtype=bool), [], np.arange(len(sets))
+    while len(todo):
+        queue, todo = [int(todo[0])], todo[1:]
+        while queue and len(todo):
+            i = queue.pop()
+            close = np.bitwise_count(u[todo] ^ u[i]).min(axis=1) <= radius
+            # Sets whose sizes alone are too far apart need no look.
+            close &= np.minimum(sizes[todo], sizes[i]) >= similarity * np.maximum(sizes[todo], sizes[i])
+            near = todo[close]
+            if not len(near):
+                continue
+            own = flat[start[i] : start[i + 1]]
+            mark[own] = True
+            both = np.array([np.count_nonzero(mark[flat[start[j] : start[j + 1]]]) for j in near], dtype=np.int64)
+            mark[own] = False
+            got = near[both >= similarity * (sizes[near] + sizes[i] - both)]
+            out += [(i, int(j)) for j in got]
+            queue += got.tolist()
+            todo = np.setdiff1d(todo, got, assume_unique=True)
+    return out
+
+
+def alike(close: DataFrame, nodes: DataFrame, docs: DataFrame, names: list[str], words: int, radius: int, similarity: float) -> DataFrame:
+    """Edges (a, b: doc_ids) that join what all pairs of nodes join that have a print within the radius and shingle sets of at least that Jaccard similarity.
+
+    close: edges (a, b) that join all pairs within the radius, so that such pairs lie in one of its components.  nodes: node, and its prints.  docs: doc_id, text.
+    The members of a component all meet: in blocks, every two of them, where they are many or long.
+    """
 
     def sets(batches):
         import pyarrow as pa
@@ -246,25 +283,40 @@ def alike(edges: DataFrame, docs: DataFrame, words: int, similarity: float) -> D
     def compare(batches):
         import pyarrow as pa
 
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch["x"].to_pylist(), batch["y"].to_pylist()):
-                m, n = len(x) // 8, len(y) // 8
-                both = np.intersect1d(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8"), assume_unique=True).size
-                keep.append(both >= similarity * (m + n - both))
-            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        def edges(members):
+            ids = [m[0] for m in members]
+            prints = np.array([m[1:-1] for m in members], dtype=np.int64).reshape(len(ids), -1)
+            pairs = verified_forest(prints, [np.frombuffer(m[-1], "<u8") for m in members], radius, similarity)
+            x, y = [ids[i] for i, _ in pairs], [ids[j] for _, j in pairs]
+            return pa.RecordBatch.from_arrays([pa.array(map(min, x, y), pa.int64()), pa.array(map(max, x, y), pa.int64())], names=["a", "b"])
 
-    nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
-    texts = docs.select(F.col("doc_id").alias("node"), "text").join(nodes.hint("merge"), "node", "left_semi").dropDuplicates(["node"])
-    known = storage.staged(storage.arrow_map(texts, sets, "node long, hashes binary"), "shingle-sets")
-    pairs = edges.join(known.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a").join(known.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
-    return storage.arrow_map(pairs.select("a", "b", "x", "y"), compare, "a long, b long")
+        group, members = None, []
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if row[:3] != group:
+                    if len(members) > 1:
+                        yield edges(members)
+                    group, members = row[:3], []
+                members.append(row[3:])
+        if len(members) > 1:
+            yield edges(members)
+
+    near = storage.staged(components(close), "near")
+    texts = docs.select(F.col("doc_id").alias("node"), "text").join(near.select("node").hint("merge"), "node", "left_semi").dropDuplicates(["node"])
+    known = storage.staged(storage.arrow_map(texts, sets, "node long, hashes binary").join(near, "node"), "shingle-sets")
+    blocks = known.groupBy("component").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum(F.length("hashes")) / BLOCK_BYTES)).cast("int").alias("n")).withColumn("n", F.greatest("n", F.lit(1)))
+    dealt = known.join(blocks, "component").withColumn("own", F.pmod(F.xxhash64("node"), F.col("n")).cast("int"))
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    met = met.join(nodes.select("node", *names), "node").select("component", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "node", *names, "hashes")
+    met = met.repartition("component", "x", "y").sortWithinPartitions("component", "x", "y")
+    return storage.arrow_map(met, compare, "a long, b long")
 
 
 def keep_first(docs: DataFrame, words: int = 5, radius: int = 7, segments: int = 4, prints: int = 3, similarity: float = 0.8) -> DataFrame:
     """docs, with all its columns, but of each group of near-duplicates only the row with the smallest doc_id.
 
     Documents are linked if one of ``prints`` independent fingerprints differs in ``radius`` bits at most and the shingle sets are alike to ``similarity``.
+    Thinned links (forests of crowds) only tell which documents may be linked; within such a component all pairs are held against both conditions.
     Rows without a doc_id all stay, as there is nothing to tell them by.  Of rows that are equal in doc_id and text one stays.
     """
     names = [f"__fp{k}" for k in range(prints)]
@@ -281,7 +333,8 @@ def keep_first(docs: DataFrame, words: int = 5, radius: int = 7, segments: int =
         same = nodes.select(F.col(name).alias("fp"), F.col("node").alias("b")).join(first, "fp").where("b > first").select(F.col("first").alias("a"), "b")
         found = storage.staged(found.unionByName(same), "close")
         edges = found if edges is None else edges.unionByName(found)
-    member = components(alike(storage.staged(edges.distinct(), "edges"), rows.select("doc_id", F.col("text").cast("string").alias("text")), words, similarity))
+    proper = alike(storage.staged(edges.distinct(), "edges"), nodes, rows.select("doc_id", F.col("text").cast("string").alias("text")), names, words, radius, similarity)
+    member = components(storage.staged(proper, "proper"))
     # A row goes if its node isn't its component's first, or if it isn't its node's first.
     last = nodes.join(member, "node", "left").where("n > 1 or component < node").select(*names, F.coalesce("component", "node").alias("__first"))
     lost = storage.staged(known.join(last, names).where("doc_id > __first").select("doc_id", "__h").distinct(), "lost")

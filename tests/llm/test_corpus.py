@@ -103,6 +103,30 @@ def test_keep_first(spark):
     assert simhash_dedup.keep_first(df.limit(0)).count() == 0
 
 
+def edited_family(rng, copies=300, words=400, edits=16):
+    first = [f"w{i}" for i in rng.integers(0, 5000, size=words)]
+    out = []
+    for _ in range(copies):
+        text = list(first)
+        for at in rng.choice(words, size=rng.integers(0, edits + 1), replace=False).tolist():
+            text[at] = f"n{rng.integers(0, 10**6)}"
+        out.append(" ".join(text))
+    return out
+
+
+@pytest.mark.parametrize("block", [2048, 64])
+def test_keep_first_of_a_crowd(spark, block, monkeypatch):
+    """A family of over WIDE_CROWD edited copies falls into the groups that all its pairs make."""
+    monkeypatch.setattr(simhash_dedup, "BLOCK", block)
+    texts = edited_family(np.random.default_rng(5))
+    prints = [np.array(simhash_dedup.fingerprint(t, 5, prints=3)).view(np.uint64) for t in texts]
+    sets = [set(zip(*(t.split()[i:] for i in range(5)))) for t in texts]
+    close = lambda i, j: np.bitwise_count(prints[i] ^ prints[j]).min() <= 7 and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
+    linked = groups(range(len(texts)), [(i, j) for i in range(len(texts)) for j in range(i) if close(i, j)])
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in simhash_dedup.keep_first(df).select("doc_id").collect()) == sorted(set(linked.values()))
+
+
 # ---- decontamination -----------------------------------------------------------------------------------
 def test_leaks_against_all_windows(spark, sf):
     docs, items = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")

@@ -52,7 +52,7 @@ KINDS = {
 _EDGE = r"(?<![\p{L}0-9_@])"
 PATTERN = _EDGE + "(?:" + "|".join(f"(?:{p})" for p in KINDS.values()) + ")"
 #: What a text must have for the pattern to match at all.
-HINT = rf"[0-9@=:]|(?:{_TITLE})\.? \p{{Lu}}"
+HINT = rf"[0-9@=:]|{_EDGE}(?:AKIA|ghp_|sk-|xox[abp]-)|(?:{_TITLE})\.? \p{{Lu}}"
 _SEP = "\u001f"
 
 

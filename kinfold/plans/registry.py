@@ -336,21 +336,24 @@ def best_number(spark: SparkSession, d: str) -> DataFrame:
     return c.select("c_custkey", F.round(cmp.best_number_sim(a, b), 6).alias("best"))
 
 
+LINKING = ["combo", "skel", "addr"]
+
+
 def _linked(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Normalised sources and the candidates of two retrievers and their reverse lists."""
-    # Both retrievers and the features read the views: they are made once and kept in the shared folder.
+    """Normalised sources and the candidates of the reference's three retrievers, each at its own k."""
+    # The retrievers and the features read the views: they are made once and kept in the shared folder.
     a, b = v.split_sources(checkpointed(normalize(v.records(spark, d))))
     long = None
-    for r in (tv.RETRIEVERS["combo"].keeping(10), tv.RETRIEVERS["skel"].keeping(10)):
-        found = simjoin.retrieve(a, b, r)
+    for name in LINKING:
+        found = simjoin.retrieve(a, b, tv.RETRIEVERS[name])
         long = found if long is None else long.unionByName(found)
-    return a, b, candidates.union_candidates(long, ["combo", "skel"])
+    return a, b, candidates.union_candidates(long, LINKING)
 
 
 @query()
 def string_features(spark: SparkSession, d: str) -> DataFrame:
     a, b, pairs = _linked(spark, d)
-    return features.string_features(pairs.where("rank_combo <= 2").select("s1_id", "cand_id"), a, b)
+    return features.string_features(pairs.select("s1_id", "cand_id"), a, b)
 
 
 @query(f"""WITH {PARTS}, s AS (SELECT x, y, list_distinct(string_split(a, ' ')) AS u, list_distinct(string_split(b, ' ')) AS w, a, b FROM pp)

@@ -39,6 +39,20 @@ def test_every_query_is_registered():
     assert registry.QUERIES.keys() <= entry.queries().keys() and registry.ORACLE_SQL.keys() <= entry.oracle_sql().keys()
 
 
+def test_features_for_every_candidate(spark):
+    """string_features has the pairs of all three retrievers at 20 a source, also those that the address view alone finds."""
+    from kinfold.operators import simjoin, views
+    from kinfold.operators.normalize import normalize
+    from kinfold.plans import views as v
+
+    a, b = v.split_sources(normalize(v.records(spark, entry.SMOKE)).cache())
+    want = set()
+    for name in ("combo", "skel", "addr"):
+        want |= {tuple(r) for r in simjoin.retrieve(a, b, views.Retriever(name, views.RETRIEVERS[name].view, k=20)).select("s1_id", "cand_id").collect()}
+    rows = registry.string_features(spark, entry.SMOKE).select("s1_id", "cand_id").collect()
+    assert len(rows) == len(want) and {tuple(r) for r in rows} == want
+
+
 def test_entry_without_the_optional_parts(tmp_path):
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     (tmp_path / "kinfold").mkdir()

@@ -4,6 +4,7 @@ Entities are found with one pattern for all kinds (``KINDS``).  An entity's norm
 don't count) is hashed with a secret key, and the surrogate is made from the hash: digit for digit, letter for letter (hexadecimal for hexadecimal),
 with country codes, card schemes, key prefixes, valid octets and check digits (cards, IBANs) kept as the kind has them.  A person's surrogate has the title's gender, the name's
 script and as many names.  Each mention is then written in its own layout, so the same entity has the same surrogate wherever and however it stands.
+Persons are the exception: a name is found only behind a title, so mentions without one stay as they are, and a shortened name counts as another entity.
 
 Collisions are checked over the whole corpus: two entities of a kind must not share a surrogate, and no surrogate may be an entity of the corpus.
 The smallest entity of a clash keeps its surrogate, the others draw again with the next counter, until none is left.  Surrogates of counter 0 are

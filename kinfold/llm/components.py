@@ -20,7 +20,9 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     for _ in range(most_rounds):
         if not before[0]:
             break
-        e = storage.staged(_small_star(_large_star(e)), "edges")
+        flatter = storage.staged(_small_star(_large_star(e)), "edges")
+        storage.remove(e)
+        e = flatter
         after = _state(e)
         if after == before:
             break

@@ -5,11 +5,10 @@ most.  So the index holds, for every segment, the segment itself and all its var
 signatures are joined and the pairs verified on all 64 bits.  Only different fingerprints are indexed: copies have met before.  Where a pair differs in
 the wiped bit, one side has it set and the other not, so these two sides are joined and no group is joined with itself.
 
-A segment value that more than ``CROWD`` fingerprints share takes no part in that join.  For radii up to 2 its fingerprints (and those one bit
+A segment value that more than ``CROWD`` fingerprints share takes no part in that join.  Its fingerprints (and those one bit
 away) are keyed by the whole segment and by the rest of the fingerprint with the remaining radius wiped out: under such a key there are 2**r
-fingerprints at most, all of them linked.  For larger radii they are dealt into blocks, every two blocks meet in a group of bounded size, and
-only a minimum spanning forest of the links found there leaves it.  Either way rows stay in proportion to the crowd and no group of links falls apart.
-A forest's links must not be thinned further, as by similarity: ``alike`` compares all members of a group anew.
+fingerprints at most, all of them linked.  So rows stay in proportion to the crowd and no group of links falls apart.  Radii above 2 have no such way
+(keys are too many) and join crowds as any other; ``near_dedup`` is for those.
 """
 
 from __future__ import annotations
@@ -25,12 +24,6 @@ from . import storage
 from .components import components
 
 CROWD = 512
-#: The same for the larger radii of ``keep_first``, where near copies share their segments more often.
-WIDE_CROWD = 64
-#: Fingerprints of a crowd that a task compares with as many others.
-BLOCK = 2048
-#: Bytes of shingle hashes in a block, so that two blocks of long texts fit a task.
-BLOCK_BYTES = 32_000_000
 #: Bytes of one text turned at a time; longer ones are cut at white space and their votes added.
 PIECE = 4_000_000
 
@@ -64,7 +57,7 @@ def shingle_hashes(text: str | None, words: int, seed: int = 42):
             return
 
 
-def _remixed(hashes: np.ndarray) -> np.ndarray:
+def remixed(hashes: np.ndarray) -> np.ndarray:
     """Other 64-bit hashes made of them, for a further independent fingerprint."""
     x = hashes * np.uint64(0xBF58476D1CE4E5B9) + np.uint64(0x9E3779B97F4A7C15)
     x ^= x >> np.uint64(31)
@@ -78,7 +71,7 @@ def fingerprint(text: str | None, words: int, seed: int = 42, prints: int = 1) -
     for hashes in shingle_hashes(text, words, seed):
         n += len(hashes)
         for k in range(prints):
-            hashes = _remixed(hashes) if k else hashes
+            hashes = remixed(hashes) if k else hashes
             for a in range(0, len(hashes), 65536):
                 part = hashes[a : a + 65536]
                 votes[k] += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -122,17 +115,19 @@ def links(fps: DataFrame, radius: int, segments: int, crowd: int = CROWD) -> Dat
     if not segments > radius / 2:
         raise ValueError("too few segments for this radius")
     masks = segment_masks(segments)
-    variants = _variants(fps, masks)
-    whole = variants.where("side = 2").groupBy("sig", "key").count().where(F.col("count") > crowd).select("sig", "key")
-    crowded = storage.staged(whole, "crowded")
+    # Fingerprints are few and short beside the variants made of them: dealt out anew, so that many tasks make these.
+    variants = _variants(fps.repartition(storage.partitions_for(fps.sparkSession), "fp"), masks)
     found = None
-    if not crowded.isEmpty():
-        near = [F.struct(F.lit(bit).alias("sig"), F.col("key").bitwiseAND(F.lit(_signed(~(1 << bit)))).alias("key"), F.col("sig").alias("of")) for bit in range(64)]
-        of = F.element_at(F.array(*(F.lit(64 + next(k for k, m in enumerate(masks) if m >> bit & 1)) for bit in range(64))), F.col("x.sig") + 1)
-        around = crowded.select(F.explode(F.array(*near)).alias("x")).where(of == F.col("x.of")).select("x.sig", "x.key").distinct()
-        shut = storage.staged(crowded.unionByName(around), "crowded")
-        found = _crowd_links(variants.join(shut, ["sig", "key"], "left_semi"), masks, radius) if radius <= 2 else _crowd_forests(variants.where("side = 2"), crowded, masks, radius)
-        variants = variants.join(shut, ["sig", "key"], "left_anti")
+    if radius <= 2:
+        whole = variants.where("side = 2").groupBy("sig", "key").count().where(F.col("count") > crowd).select("sig", "key")
+        crowded = storage.staged(whole, "crowded")
+        if not crowded.isEmpty():
+            near = [F.struct(F.lit(bit).alias("sig"), F.col("key").bitwiseAND(F.lit(_signed(~(1 << bit)))).alias("key"), F.col("sig").alias("of")) for bit in range(64)]
+            of = F.element_at(F.array(*(F.lit(64 + next(k for k, m in enumerate(masks) if m >> bit & 1)) for bit in range(64))), F.col("x.sig") + 1)
+            around = crowded.select(F.explode(F.array(*near)).alias("x")).where(of == F.col("x.of")).select("x.sig", "x.key").distinct()
+            shut = storage.staged(crowded.unionByName(around), "crowded")
+            found = _crowd_links(variants.join(shut, ["sig", "key"], "left_semi"), masks, radius)
+            variants = variants.join(shut, ["sig", "key"], "left_anti")
     left = variants.where("side <> 1").select("sig", "key", F.col("fp").alias("a"))
     right = variants.where("side <> 0").select("sig", "key", F.col("fp").alias("b"))
     pairs = left.join(right, ["sig", "key"]).where((F.col("sig") < 64) | (F.col("a") < F.col("b")))
@@ -158,47 +153,6 @@ def _crowd_links(rows: DataFrame, masks: list[int], radius: int) -> DataFrame:
     return made.distinct()
 
 
-def forest(x: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """A minimum spanning forest of the fingerprints x (signed, different) over links within the radius.
-
-    It joins what all links join, and so it does for every smaller radius: the closest links stay.
-    """
-    u, n = x.view(np.uint64), len(x)
-    best, origin, done, out, at = np.full(n, 65, dtype=np.uint8), np.zeros(n, dtype=np.int64), np.zeros(n, dtype=bool), [], 0
-    for _ in range(n - 1):
-        done[at] = True
-        best[at] = 255
-        apart = np.bitwise_count(u ^ u[at])
-        closer = (apart < best) & ~done
-        best[closer] = apart[closer]
-        origin[closer] = at
-        at = int(best.argmin())
-        if best[at] <= radius:
-            out.append((int(x[origin[at]]), int(x[at])))
-    return out
-
-
-def _crowd_forests(whole: DataFrame, crowded: DataFrame, masks: list[int], radius: int) -> DataFrame:
-    """Spanning forests of the links that have an end in a crowded segment value.  whole: fp, sig, key of whole segments."""
-    around = None
-    for k, mask in enumerate(masks):
-        values = F.array(F.col("key"), *(F.col("key").bitwiseXOR(F.lit(_signed(1 << b))) for b in range(64) if mask >> b & 1))
-        part = crowded.where(F.col("sig") == 64 + k).select("sig", F.col("key").alias("centre"), F.explode(values).alias("key"))
-        around = part if around is None else around.unionByName(part)
-    members = whole.join(around, ["sig", "key"]).select("sig", "centre", "fp")
-    blocks = members.groupBy("sig", "centre").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("n"))
-    dealt = members.join(blocks, ["sig", "centre"]).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("n")).cast("int"))
-    met = dealt.select("sig", "centre", "fp", "own", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other")).select("sig", "centre", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "fp")
-
-    def join(pdf):
-        import pandas as pd
-
-        return pd.DataFrame(forest(np.sort(pdf["fp"].to_numpy(dtype=np.int64)), radius), columns=["a", "b"], dtype="int64")
-
-    edges = met.groupBy("sig", "centre", "x", "y").applyInPandas(join, "a long, b long")
-    return edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
 def classes(docs_fp: DataFrame, pairs: DataFrame) -> DataFrame:
     """fp, component_id (the smallest doc_id among all fingerprints linked to it) for every different fp of docs_fp (doc_id, fp)."""
     first = docs_fp.groupBy("fp").agg(F.min("doc_id").alias("first"))
@@ -221,132 +175,6 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, segments:
     return known.join(classes(known, pairs), "fp", "left").select("doc_id", "fp", "component_id")
 
 
-def with_fingerprints(df: DataFrame, words: int, prints: int) -> DataFrame:
-    """All columns of df and ``__fp0``, ``__fp1``, ... of its text."""
-    position, names = df.columns.index("text"), [f"__fp{k}" for k in range(prints)]
-    schema = T.StructType([*df.schema.fields, *(T.StructField(n, T.LongType()) for n in names)])
-
-    def run(batches):
-        import pyarrow as pa
-
-        for batch in storage.slices(batches, position):
-            rows = np.array([fingerprint(t, words, prints=prints) for t in batch.column(position).to_pylist()], dtype=np.int64).reshape(-1, prints)
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(rows[:, k]) for k in range(prints))], names=[f.name for f in schema.fields])
-
-    return storage.arrow_map(df, run, schema)
-
-
-def verified_forest(prints: np.ndarray, sets: list[np.ndarray], radius: int, similarity: float) -> list[tuple[int, int]]:
-    """Positions (i, j) of a spanning forest of the links proper: those with a print within the radius and sets (of different hashes) that are alike.
-
-    Every member is compared with all that no tree has reached yet, so whatever all links join is joined.
-    """
-    u, sizes = prints.view(np.uint64), np.array([len(x) for x in sets], dtype=np.int64)
-    names, flat = np.unique(np.concatenate(sets), return_inverse=True)
-    start = np.concatenate([[0], np.cumsum(sizes)])
-    mark, out, todo = np.zeros(len(names), dtype=bool), [], np.arange(len(sets))
-    while len(todo):
-        queue, todo = [int(todo[0])], todo[1:]
-        while queue and len(todo):
-            i = queue.pop()
-            close = np.bitwise_count(u[todo] ^ u[i]).min(axis=1) <= radius
-            # Sets whose sizes alone are too far apart need no look.
-            close &= np.minimum(sizes[todo], sizes[i]) >= similarity * np.maximum(sizes[todo], sizes[i])
-            near = todo[close]
-            if not len(near):
-                continue
-            own = flat[start[i] : start[i + 1]]
-            mark[own] = True
-            both = np.array([np.count_nonzero(mark[flat[start[j] : start[j + 1]]]) for j in near], dtype=np.int64)
-            mark[own] = False
-            got = near[both >= similarity * (sizes[near] + sizes[i] - both)]
-            out += [(i, int(j)) for j in got]
-            queue += got.tolist()
-            todo = np.setdiff1d(todo, got, assume_unique=True)
-    return out
-
-
-def alike(close: DataFrame, nodes: DataFrame, docs: DataFrame, names: list[str], words: int, radius: int, similarity: float) -> DataFrame:
-    """Edges (a, b: doc_ids) that join what all pairs of nodes join that have a print within the radius and shingle sets of at least that Jaccard similarity.
-
-    close: edges (a, b) that join all pairs within the radius, so that such pairs lie in one of its components.  nodes: node, and its prints.  docs: doc_id, text.
-    The members of a component all meet: in blocks, every two of them, where they are many or long.
-    """
-
-    def sets(batches):
-        import pyarrow as pa
-
-        for batch in storage.slices(batches, "text"):
-            found = [np.unique(np.concatenate(list(shingle_hashes(t, words)))).tobytes() for t in batch["text"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch["node"], pa.array(found, pa.binary())], names=["node", "hashes"])
-
-    def compare(batches):
-        import pyarrow as pa
-
-        def edges(members):
-            ids = [m[0] for m in members]
-            prints = np.array([m[1:-1] for m in members], dtype=np.int64).reshape(len(ids), -1)
-            pairs = verified_forest(prints, [np.frombuffer(m[-1], "<u8") for m in members], radius, similarity)
-            x, y = [ids[i] for i, _ in pairs], [ids[j] for _, j in pairs]
-            return pa.RecordBatch.from_arrays([pa.array(map(min, x, y), pa.int64()), pa.array(map(max, x, y), pa.int64())], names=["a", "b"])
-
-        group, members = None, []
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if row[:3] != group:
-                    if len(members) > 1:
-                        yield edges(members)
-                    group, members = row[:3], []
-                members.append(row[3:])
-        if len(members) > 1:
-            yield edges(members)
-
-    near = storage.staged(components(close), "near")
-    texts = docs.select(F.col("doc_id").alias("node"), "text").join(near.select("node").hint("merge"), "node", "left_semi").dropDuplicates(["node"])
-    known = storage.staged(storage.arrow_map(texts, sets, "node long, hashes binary").join(near, "node"), "shingle-sets")
-    blocks = known.groupBy("component").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum(F.length("hashes")) / BLOCK_BYTES)).cast("int").alias("n")).withColumn("n", F.greatest("n", F.lit(1)))
-    dealt = known.join(blocks, "component").withColumn("own", F.pmod(F.xxhash64("node"), F.col("n")).cast("int"))
-    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    met = met.join(nodes.select("node", *names), "node").select("component", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "node", *names, "hashes")
-    met = met.repartition("component", "x", "y").sortWithinPartitions("component", "x", "y")
-    return storage.arrow_map(met, compare, "a long, b long")
-
-
-def keep_first(docs: DataFrame, words: int = 5, radius: int = 7, segments: int = 4, prints: int = 3, similarity: float = 0.8) -> DataFrame:
-    """docs, with all its columns, but of each group of near-duplicates only the row with the smallest doc_id.
-
-    Documents are linked if one of ``prints`` independent fingerprints differs in ``radius`` bits at most and the shingle sets are alike to ``similarity``.
-    Thinned links (forests of crowds) only tell which documents may be linked; within such a component all pairs are held against both conditions.
-    Rows without a doc_id all stay, as there is nothing to tell them by.  Of rows that are equal in doc_id and text one stays.
-    """
-    names = [f"__fp{k}" for k in range(prints)]
-    # Texts are met twice more, by doc_id and a hash of the text: by sort-merge at every size, so that a run's needs grow as its input.
-    rows = docs.withColumn("doc_id", storage.as_long("doc_id")).withColumn("__h", F.xxhash64(F.coalesce("text", F.lit(""))))
-    known = with_fingerprints(rows.where("doc_id is not null").select("doc_id", "__h", F.col("text").cast("string").alias("text")), words, prints).drop("text")
-    known = storage.staged(known, "fingerprints")
-    nodes = storage.staged(known.groupBy(*names).agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("n")), "nodes")
-    edges = None
-    for name in names:
-        first = storage.staged(nodes.groupBy(F.col(name).alias("fp")).agg(F.min("node").alias("first")), "firsts")
-        close = links(first.select("fp"), radius, segments, crowd=WIDE_CROWD)
-        found = close.join(first.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(first.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-        same = nodes.select(F.col(name).alias("fp"), F.col("node").alias("b")).join(first, "fp").where("b > first").select(F.col("first").alias("a"), "b")
-        found = storage.staged(found.unionByName(same), "close")
-        edges = found if edges is None else edges.unionByName(found)
-    proper = alike(storage.staged(edges.distinct(), "edges"), nodes, rows.select("doc_id", F.col("text").cast("string").alias("text")), names, words, radius, similarity)
-    member = components(storage.staged(proper, "proper"))
-    # A row goes if its node isn't its component's first, or if it isn't its node's first.
-    last = nodes.join(member, "node", "left").where("n > 1 or component < node").select(*names, F.coalesce("component", "node").alias("__first"))
-    lost = storage.staged(known.join(last, names).where("doc_id > __first").select("doc_id", "__h").distinct(), "lost")
-    kept = rows.join(lost.hint("merge"), ["doc_id", "__h"], "left_anti")
-    again = known.groupBy("doc_id", "__h").count().where("count > 1")
-    if not again.isEmpty():
-        twice = storage.staged(again.drop("count"), "twice")
-        one = kept.join(twice, ["doc_id", "__h"], "left_semi").dropDuplicates(["doc_id", "__h"])
-        kept = kept.join(twice, ["doc_id", "__h"], "left_anti").unionByName(one)
-    return kept.select(*docs.columns)
-
-
 def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), words=3, radius=2, segments=2)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -1,6 +1,7 @@
 """Where operators keep what later stages read: the folder that the cluster shares between driver and executors.
 
-The folder is the session's ``spark.checkpoint.dir``.  Only where that is unset, as in tests, a local one is set.
+The folder is the session's ``spark.checkpoint.dir``.  Only where that is unset and the master is local, as in tests, a local one is set;
+on a cluster a session without one is refused, as each executor would write to a folder of its own.
 """
 
 from __future__ import annotations
@@ -14,8 +15,8 @@ from pyspark.sql import functions as F
 DEFAULT_FOLDER = "/tmp/checkpoints"
 #: Characters of text that a Python task turns at a time.
 BATCH_CHARS = 1_500_000
-#: Rows that go to Python in one Arrow batch: few, as texts are long.
-BATCH_ROWS = 1_000
+#: A table is broadcast up to this number of short rows, counted first; beyond it it's joined by shuffle.
+FEW_ROWS = 1_000_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -23,6 +24,8 @@ def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         own = spark.sparkContext.getCheckpointDir()
+        if not own and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = own or f"file://{DEFAULT_FOLDER}"
         if not own:
             spark.sparkContext.setCheckpointDir(folder)
@@ -38,7 +41,23 @@ def staged(df: DataFrame, what: str) -> DataFrame:
     spark = df.sparkSession
     path = new_folder(spark, what)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def remove(*tables: DataFrame) -> None:
+    """Deletes staged tables that nothing will read again."""
+    for df in tables:
+        jvm, spark = df.sparkSession._jvm, df.sparkSession
+        path = jvm.org.apache.hadoop.fs.Path(df._staged_at)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def bounded(df: DataFrame, most: int | None = None) -> DataFrame:
+    """df with a hint for its join: to broadcast it if it has few rows, which is counted, and to sort and merge else."""
+    most = FEW_ROWS if most is None else most
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df.hint("merge")
 
 
 def open_fs(uri: str):
@@ -69,8 +88,7 @@ class Writer:
 
 
 def arrow_map(df: DataFrame, run, schema) -> DataFrame:
-    """df.mapInArrow in batches small enough for long texts."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """df.mapInArrow.  Batches are bounded by bytes (spark.sql.execution.arrow.maxBytesPerBatch); ``slices`` cuts them further."""
     return df.mapInArrow(run, schema)
 
 

@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kinfold.llm import components, decontamination, language_id, pii, quality, queries, sharding, simhash_dedup, storage, warc
+from kinfold.llm import components, decontamination, language_id, near_dedup, pii, quality, queries, sharding, simhash_dedup, storage, warc
 
 
 # ---- near-duplicates --------------------------------------------------------------------------------
@@ -41,9 +41,8 @@ def clusters(rng, centres=25, each=30, flips=4):
     return sorted(out)
 
 
-@pytest.mark.parametrize("radius,segments,crowd", [(1, 1, 512), (2, 2, 512), (2, 2, 4), (5, 3, 512), (7, 4, 512), (7, 4, 4)])
-def test_links(spark, radius, segments, crowd, monkeypatch):
-    monkeypatch.setattr(simhash_dedup, "BLOCK", 16)
+@pytest.mark.parametrize("radius,segments,crowd", [(1, 1, 512), (1, 1, 4), (2, 2, 512), (2, 2, 4), (5, 3, 512), (7, 4, 512)])
+def test_links(spark, radius, segments, crowd):
     fps = clusters(np.random.default_rng(radius))
     u = np.array(fps, dtype=np.int64)
     want = {(x, int(y)) for i, x in enumerate(fps) for y in u[i + 1 :][np.bitwise_count((u[i + 1 :] ^ x).view(np.uint64)) <= radius]}
@@ -98,9 +97,21 @@ def test_keep_first(spark):
     rows = [(i, t, "x") for i, t in enumerate(texts)] + [(100 + i, t, "y") for i, t in enumerate(texts[:10])]
     rows += [(200 + i, t + " one more word", "z") for i, t in enumerate(texts[:10])] + [(0, texts[0], "x"), (None, texts[1], "n")]
     df = spark.createDataFrame(rows, "doc_id long, text string, n string")
-    got = simhash_dedup.keep_first(df).collect()
+    got = near_dedup.keep_first(df).collect()
     assert sorted(r["doc_id"] for r in got if r["doc_id"] is not None) == list(range(20)) and sum(r["doc_id"] is None for r in got) == 1
-    assert simhash_dedup.keep_first(df.limit(0)).count() == 0
+    assert near_dedup.keep_first(df.limit(0)).count() == 0
+
+
+def test_keep_first_of_odd_rows(spark, monkeypatch):
+    """Ids that are no numbers, texts that are null, empty or very long, and columns with the names that the operator uses itself."""
+    monkeypatch.setattr(simhash_dedup, "PIECE", 10_000)
+    long = " ".join(f"w{i}" for i in range(60_000))
+    rows = [("b-2", long), ("a-1", long + " more"), ("c", None), ("d", ""), ("e", " \n"), (None, None), ("f", "Short text"), ("g", "short TEXT"), ("h", "short text too"), ("a-1", "another of the same id")]
+    names = ["id", "h", "row", "node", "label", "k", "d0", "p0", "__h"]
+    df = spark.createDataFrame([(*r, *range(len(names))) for r in rows], "doc_id string, text string, " + ", ".join(f"{n} long" for n in names))
+    got = near_dedup.keep_first(df)
+    assert got.columns == df.columns and got.dtypes == df.dtypes
+    assert sorted((r["doc_id"] or "", (r["text"] or "")[:9]) for r in got.collect()) == [("", ""), ("a-1", "another o"), ("a-1", "w0 w1 w2 "), ("c", ""), ("f", "Short tex"), ("h", "short tex")]
 
 
 def edited_family(rng, copies=300, words=400, edits=16):
@@ -114,17 +125,47 @@ def edited_family(rng, copies=300, words=400, edits=16):
     return out
 
 
-@pytest.mark.parametrize("block", [2048, 64])
-def test_keep_first_of_a_crowd(spark, block, monkeypatch):
-    """A family of over WIDE_CROWD edited copies falls into the groups that all its pairs make."""
-    monkeypatch.setattr(simhash_dedup, "BLOCK", block)
-    texts = edited_family(np.random.default_rng(5))
-    prints = [np.array(simhash_dedup.fingerprint(t, 5, prints=3)).view(np.uint64) for t in texts]
+def linked_plainly(texts):
+    """Groups by all pairs that have a segment at most one bit apart, fingerprints within both radii, and alike shingle sets."""
+    prints = [near_dedup.prints_of(near_dedup.shingle_set(t)).view(np.uint64) for t in texts]
     sets = [set(zip(*(t.split()[i:] for i in range(5)))) for t in texts]
-    close = lambda i, j: np.bitwise_count(prints[i] ^ prints[j]).min() <= 7 and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
-    linked = groups(range(len(texts)), [(i, j) for i in range(len(texts)) for j in range(i) if close(i, j)])
+    masks = np.array(near_dedup._MASKS, dtype=np.uint64)
+
+    def close(i, j):
+        x = prints[i] ^ prints[j]
+        bits = np.bitwise_count(x)
+        meet = (np.bitwise_count(x[:, None] & masks).min(axis=1) <= 1) & (bits <= near_dedup.PRINT_RADIUS)
+        return meet.any() and bits.sum() <= near_dedup.RADIUS and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
+
+    return groups(range(len(texts)), [(i, j) for i in range(len(texts)) for j in range(i) if close(i, j)])
+
+
+@pytest.mark.parametrize("crowd", [512, 16])
+def test_keep_first_of_a_crowd(spark, crowd, monkeypatch):
+    """Edited copies fall into the groups that all their pairs make, in crowded buckets and in others."""
+    monkeypatch.setattr(near_dedup, "CROWD", crowd)
+    monkeypatch.setattr(near_dedup, "FAN", 8)
+    rng = np.random.default_rng(5)
+    texts = edited_family(rng, 250, 400, 30) + edited_family(rng, 60, 100, 12) + edited_family(rng, 20, 300, 0)
+    linked = linked_plainly(texts)
+    assert len(set(linked.values())) > 20  # some copies are too far from all others
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    assert sorted(r["doc_id"] for r in simhash_dedup.keep_first(df).select("doc_id").collect()) == sorted(set(linked.values()))
+    assert sorted(r["doc_id"] for r in near_dedup.keep_first(df).select("doc_id").collect()) == sorted(set(linked.values()))
+
+
+def test_index_finds_most_alike_pairs():
+    """Pairs at a similarity of 0.8 or little more meet in the index in nine of ten cases."""
+    rng, found, n = np.random.default_rng(11), 0, 0
+    while n < 300:
+        a = rng.integers(0, 2**63, size=400, dtype=np.uint64)
+        b = np.concatenate([a[: rng.integers(356, 385)], rng.integers(0, 2**63, size=400, dtype=np.uint64)])[:400]
+        both = np.intersect1d(a, b).size
+        if both < 0.8 * (800 - both):
+            continue
+        n += 1
+        x = near_dedup.prints_of(np.unique(a)).view(np.uint64) ^ near_dedup.prints_of(np.unique(b)).view(np.uint64)
+        found += (np.bitwise_count(x[:, None] & np.array(near_dedup._MASKS, dtype=np.uint64)).min() <= 1) and np.bitwise_count(x).sum() <= near_dedup.RADIUS
+    assert found >= 270
 
 
 # ---- decontamination -----------------------------------------------------------------------------------

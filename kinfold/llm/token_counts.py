@@ -36,8 +36,13 @@ def without_special(texts: list[str], special) -> tuple[list[str], np.ndarray]:
 
 
 def count_texts(path: str, texts: list[str | None]) -> np.ndarray:
+    """Tokens of each text; those with code points that the transducer's alphabet of classes doesn't know are counted by the library."""
     machine = transducer(path)
     plain, extra = without_special([t or "" for t in texts], machine.spec.special)
+    for i, t in enumerate(plain):
+        if wordbpe.unknown(t):
+            extra[i] += len(wordbpe.encoder(path).library.encode(t, add_special_tokens=False).ids)
+            plain[i] = ""
     symbols, bounds = symbols_of(plain)
     _, emitted = machine.run(symbols, want_tokens=False)
     upto = np.concatenate(([0], np.cumsum(emitted, dtype=np.int64)))

@@ -113,6 +113,10 @@ class FileWriter:
         self.pending = np.concatenate([self.pending, *lists])
         self._flush(len(self.pending) // BLOCK * BLOCK)
 
+    def size(self) -> int:
+        """Bytes written, and those that pending ids will need at most but for exceptions."""
+        return self.out.size + 2 * len(self.pending)
+
     def _flush(self, n: int) -> None:
         for b in pack_blocks(self.pending[:n]):
             self.starts.append(self.out.size)
@@ -162,7 +166,7 @@ def read_file(uri: str) -> Iterator[tuple[int | None, int, np.ndarray]]:
 def write_tokens(docs: DataFrame, folder: str, path: str, end_id: int = 2, file_bytes: int = 64 << 20) -> DataFrame:
     """Writes ``docs`` (doc_id, text) in ascending doc_id order; returns the staged manifest: seq, part, uri, ids, docs.
 
-    ``end_id`` is appended to every document.  A file is closed when it has ``file_bytes`` packed bytes.
+    ``end_id`` is appended to every document.  A file is closed with the first document that brings it to about ``file_bytes`` packed bytes.
     """
 
     def write(batches):
@@ -172,12 +176,16 @@ def write_tokens(docs: DataFrame, folder: str, path: str, end_id: int = 2, file_
         encode = wordbpe.encoder(path).encode
         seq, end, rows, out = TaskContext.get().partitionId(), np.array([end_id], dtype="<u2"), [], None
         for batch in storage.slices(batches, "text"):
-            lists = [np.concatenate((x, end)) for x in encode(batch["text"].to_pylist())]
-            out = out or FileWriter(folder, f"part-{seq:06d}-{len(rows):04d}")
-            out.add(batch["doc_id"].to_pylist(), lists)
-            if out.out.size > file_bytes:
-                rows.append((seq, len(rows), *out.close()))
-                out = None
+            lists, ids = [np.concatenate((x, end)) for x in encode(batch["text"].to_pylist())], batch["doc_id"].to_pylist()
+            # Documents go in by runs of an eighth of a file, one longer document being a run.
+            run = np.cumsum([len(x) for x in lists]) * 16 // max(1, file_bytes)
+            cuts = [0, *(np.flatnonzero(run[1:] != run[:-1]) + 1).tolist(), len(lists)]
+            for a, b in zip(cuts, cuts[1:]):
+                out = out or FileWriter(folder, f"part-{seq:06d}-{len(rows):04d}")
+                out.add(ids[a:b], lists[a:b])
+                if out.size() >= file_bytes:
+                    rows.append((seq, len(rows), *out.close()))
+                    out = None
         if out:
             rows.append((seq, len(rows), *out.close()))
         names = ["seq", "part", "uri", "ids", "docs"]

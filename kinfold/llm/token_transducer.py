@@ -8,12 +8,10 @@ s[:j] has less than that of s[:i].  These tuples, numbered as they are met, are
 on a byte emits the change in the number of tokens; the last byte of a pre-token is a symbol of its own,
 which closes the count and leads back to the start.
 
-Texts run in lockstep: the symbols are cut into equal chunks, and all chunks step together through the
-dense table.  Each first runs from a guessed entry state (the start), which gives its state map
-as (exit, emissions) for that entry.  The maps then compose: a chunk whose real entry differs from its
-guess is run again from the real one until both runs meet, after which the map is constant; a chunk that
-holds an end of a pre-token is constant from there on.  Rounds go on, over all chunks at once, until every
-entry equals the exit before it, which is the prefix scan's fixed point.
+Texts run in lockstep: the symbols are cut into equal chunks, and all chunks step together through the dense table.  A chunk has a state map,
+entry -> (exit, emissions).  Maps are made for the start state first, and then for every state that the map of the chunk before leads to, until all maps
+are closed: an entry is run until it meets the run from the start, after which both are the same.  Closed maps are small arrays, and a parallel prefix scan
+composes them in log2(chunks) rounds, which gives each chunk's real entry.  Chunks whose entry is not the start take the emissions of that entry's run.
 
 Memory is bounded: the table holds at most ``most_cells`` cells and is begun anew when full.
 """
@@ -189,6 +187,46 @@ class Transducer:
             got = self.next.ravel().take(states * self.width + cols)
         return got
 
+    def _entries(self, came, went, leaves, cols, syms) -> np.ndarray:
+        """The state in which each chunk is really entered, the first in the start, by composing the chunks' state maps.
+
+        came, went: states and table cells of the runs from the start, which end in ``leaves``.
+        """
+        size, lanes = came.shape
+        domain, exits, emitted = [{START: 0} for _ in range(lanes)], [[x] for x in leaves.tolist()], [[0] for _ in range(lanes)]
+        lane = np.arange(lanes - 1)
+        while lane.size:  # entries that no map has yet, of all chunks together; emissions are counted from those of the start's run
+            fresh = []
+            for k in lane.tolist():
+                to = exits[k][-1]
+                if to not in domain[k + 1]:
+                    domain[k + 1][to] = len(domain[k + 1])
+                    fresh.append((k + 1, to))
+            if not fresh:
+                break
+            own, state = (np.array(x, dtype=np.int32) for x in zip(*fresh))
+            out, more, at = leaves[own].copy(), np.zeros(len(own), dtype=np.int64), np.arange(len(own))
+            for k in range(size):
+                differ = came[k, own[at]] != state
+                at, state = at[differ], state[differ]
+                if not at.size:
+                    break
+                got = self._steps(state, cols[k, own[at]], syms[k, own[at]])
+                more[at] += (got >> 23) - (went[k, own[at]] >> 23)
+                state = got & 0x7FFFFF
+            out[at] = state
+            for k, x, n in zip(own.tolist(), out.tolist(), more.tolist()):
+                exits[k].append(x)
+                emitted[k].append(n)
+            lane = own[own < lanes - 1]
+        width = max(map(len, domain))
+        maps, plus = np.zeros((lanes, width), dtype=np.int64), np.zeros((lanes, width), dtype=np.int64)
+        for k in range(lanes - 1):
+            maps[k, : len(exits[k])] = [domain[k + 1][x] for x in exits[k]]
+            plus[k, : len(exits[k])] = emitted[k]
+        composed, _ = compose(maps, plus)
+        return np.array([START, *(list(domain[k + 1])[i] for k, i in enumerate(composed[:-1, 0].tolist()))], dtype=np.int32)
+
     def run(self, symbols: np.ndarray, want_tokens: bool = True) -> tuple[np.ndarray | None, np.ndarray]:
         """For each symbol, the token that ends the encoding so far, and the tokens emitted (which may be negative)."""
         n, size = symbols.size, self.chunk
@@ -211,24 +249,17 @@ class Transducer:
             went[k] = got = self._steps(state, cols[k], syms[k])
             state = got & 0x7FFFFF
         leaves = state
-        entry = np.zeros(lanes, dtype=np.int32)
-        while True:
-            real = np.concatenate((np.zeros(1, dtype=np.int32), leaves[:-1]))
-            lane = np.flatnonzero(real != entry)
+        entry = self._entries(came, went, leaves, cols, syms)
+        lane = np.flatnonzero(entry != START)
+        state = entry[lane]
+        for k in range(size):
+            differ = came[k, lane] != state
+            lane, state = lane[differ], state[differ]
             if not lane.size:
                 break
-            state = real[lane]
-            entry[lane] = state
-            for k in range(size):
-                differ = came[k, lane] != state
-                if not differ.all():
-                    lane, state = lane[differ], state[differ]
-                    if not lane.size:
-                        break
-                came[k, lane] = state
-                went[k, lane] = got = self._steps(state, cols[k, lane], syms[k, lane])
-                state = got & 0x7FFFFF
-            leaves[lane] = state
+            came[k, lane] = state
+            went[k, lane] = got = self._steps(state, cols[k, lane], syms[k, lane])
+            state = got & 0x7FFFFF
         emitted = ((went >> 23) - 128).astype(np.int16).T.reshape(-1)[:n]
         if not want_tokens:
             return None, emitted
@@ -237,6 +268,21 @@ class Transducer:
         return self.token.ravel().take(came.T.reshape(-1)[:n]), emitted
 
 
+def compose(maps: np.ndarray, emitted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Prefix scan of state maps: row k of the result leads from row 0's entries through maps 0 to k, and has the emissions on the way.
+
+    maps: for each chunk and number of an entry the number of the next chunk's entry.  Each round doubles how many maps a row has composed.
+    """
+    maps, emitted, reach = maps.copy(), emitted.copy(), 1
+    while reach < len(maps):
+        before = maps[:-reach]
+        plus = emitted[:-reach] + np.take_along_axis(emitted[reach:], before, axis=1)
+        maps[reach:] = np.take_along_axis(maps[reach:], before, axis=1)
+        emitted[reach:] = plus
+        reach *= 2
+    return maps, emitted
+
+
 def symbols_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(symbols of all texts, how many stand before each text and in all): the bytes of the pre-tokens, 256 more for each one's last byte."""
     texts = [wordbpe.normalise(t) for t in texts]

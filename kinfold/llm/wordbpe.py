@@ -5,6 +5,9 @@ NFC and lower case, the pre-token pattern (contractions, letter runs, single num
 anything else, white space dropped) and the byte alphabet.  The BPE merges themselves are the
 tokenizers library's own (``PretokenEncoder``) or compiled (``token_transducer``).
 
+The Unicode tables used here are Python's, the library's may be newer.  They agree on all code points that Python's know (a test runs over
+all), so texts with any other (class ``UNKNOWN``) are handed to the library whole.
+
 Null texts count as empty.  Texts may be of any length; nothing is truncated.
 """
 
@@ -15,7 +18,7 @@ import unicodedata
 
 import numpy as np
 
-LETTER, NUMBER, SPACE, OTHER = 1, 2, 0, 3
+LETTER, NUMBER, SPACE, OTHER, UNKNOWN = 1, 2, 0, 3, 4
 #: Fixed values of the pre-token pattern: what may follow an apostrophe in one piece with it.
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
 #: Fixed values of the White_Space property.
@@ -44,11 +47,13 @@ def classes() -> np.ndarray:
     if _CLASSES is None:
         table = np.full(0x110000, OTHER, dtype=np.uint8)
         for cp in range(0x110000):
-            kind = unicodedata.category(chr(cp))[0]
-            if kind == "L":
+            kind = unicodedata.category(chr(cp))
+            if kind[0] == "L":
                 table[cp] = LETTER
-            elif kind == "N":
+            elif kind[0] == "N":
                 table[cp] = NUMBER
+            elif kind == "Cn":
+                table[cp] = UNKNOWN
         table[WHITE_SPACE] = SPACE
         _CLASSES = table
     return _CLASSES
@@ -74,6 +79,11 @@ class Spec:
             self.names[v] = k
 
 
+def unknown(text: str) -> bool:
+    """Whether a text has a code point that Python's Unicode tables don't know."""
+    return not text.isascii() and bool((classes()[code_points(text)] == UNKNOWN).any())
+
+
 def normalise(text: str) -> str:
     """NFC, then lower case letter by letter (so without the final-sigma rule)."""
     if not text.isascii():
@@ -149,7 +159,10 @@ class PretokenEncoder:
         from tokenizers import Tokenizer
 
         self.spec = Spec(path)
-        self.model = Tokenizer.from_file(path).model
+        self.library = Tokenizer.from_file(path)
+        self.library.no_truncation()
+        self.library.no_padding()
+        self.model = self.library.model
         letters = byte_letters()
         self.table = {i: c for i, c in enumerate(letters)}
         self.memo = Memory(remembered)
@@ -167,6 +180,15 @@ class PretokenEncoder:
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each whole text, unsigned 16-bit."""
         texts = [t or "" for t in texts]
+        strange = [i for i, t in enumerate(texts) if unknown(t)]
+        if strange:
+            plain = list(texts)
+            for i in strange:
+                plain[i] = ""
+            out = self.encode(plain)
+            for i in strange:
+                out[i] = np.array(self.library.encode(texts[i], add_special_tokens=False).ids, dtype="<u2")
+            return out
         cut = {i: self.split_special(t) for i, t in enumerate(texts) if "<|" in t}
         cut = {i: parts for i, parts in cut.items() if len(parts) > 1}
         if not cut:
@@ -215,9 +237,12 @@ class PretokenEncoder:
             shift = np.repeat(begin[first[codes]] - begin, size)
             shift += np.arange(data.size)
             same = data == data[shift]
-        if not same.all():
-            raise ArithmeticError("two pre-tokens of one batch share a hash")
         flat = data.tobytes()
+        if not same.all():  # sums of powers modulo 2**64 do collide, for strings made to: then by the bytes themselves
+            number: dict[bytes, int] = {}
+            codes = np.fromiter((number.setdefault(flat[a:b], len(number)) for a, b in zip(begin.tolist(), end.tolist())), dtype=np.int64, count=len(begin))
+            first = np.empty(len(number), dtype=np.int64)
+            first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
         memo = self.memo
         memo.turn()
         words = [flat[a:b] for a, b in zip(begin[first].tolist(), end[first].tolist())]

@@ -52,6 +52,49 @@ def test_transducer(chunk):
     assert ids.tolist() == [i for w in want for i in w]
 
 
+def test_state_maps_compose():
+    """The scan's maps are those of one chunk after the other."""
+    rng = np.random.default_rng(6)
+    for chunks, states in ((1, 1), (2, 3), (7, 4), (64, 5), (100, 2)):
+        maps, emitted = rng.integers(0, states, size=(chunks, states)), rng.integers(-3, 9, size=(chunks, states))
+        got, total = token_transducer.compose(maps, emitted)
+        at, n = np.arange(states), np.zeros(states, dtype=np.int64)
+        for k in range(chunks):
+            n, at = n + emitted[k, at], maps[k, at]
+            assert (got[k] == at).all() and (total[k] == n).all()
+
+
+def test_random_chunk_borders():
+    """Counts don't depend on where chunks end, within long words either."""
+    rng = random.Random(2)
+    plain = ["".join(rng.choice("abcdefgh") for _ in range(n)) for n in (3, 5000, 40, 900)] + ["a" * 3000 + "b" * 300, "ab" * 700 + " x"]
+    want = [len(LIBRARY.encode(t, add_special_tokens=False).ids) for t in plain]
+    symbols, bounds = token_transducer.symbols_of(plain)
+    for chunk in rng.sample(range(1, 700), 12):
+        upto = np.concatenate(([0], np.cumsum(token_transducer.Transducer(PATH, chunk=chunk).run(symbols, want_tokens=False)[1], dtype=np.int64)))
+        assert (upto[bounds[1:]] - upto[bounds[:-1]]).tolist() == want
+
+
+def test_all_code_points():
+    """Ids and counts of every code point, alone and among letters, are the library's, whatever Unicode tables Python has."""
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (c < 0x30000 or c % 97 == 0)]
+    for a in range(0, len(points), 8192):
+        texts = [f"a{chr(c)}b {chr(c)} É{chr(c)}{chr(c)}1" for c in points[a : a + 8192]]
+        want = [e.ids for e in LIBRARY.encode_batch(texts, add_special_tokens=False)]
+        assert [x.tolist() for x in wordbpe.encoder(PATH).encode(texts)] == want
+        assert token_counts.count_texts(PATH, texts).tolist() == [len(w) for w in want]
+
+
+def test_words_made_to_share_a_hash():
+    """Thue-Morse words and their complements collide under any polynomial hash modulo 2**64."""
+    one = ["a"]
+    for _ in range(11):
+        one += ["b" if c == "a" else "a" for c in one]
+    text = "".join(one) + " " + "".join("b" if c == "a" else "a" for c in one)
+    want = LIBRARY.encode(text, add_special_tokens=False).ids
+    assert [x.tolist() for x in wordbpe.encoder(PATH).encode(["x", text, None])] == [LIBRARY.encode("x", add_special_tokens=False).ids, want, []]
+
+
 def test_transducer_begins_anew_when_full():
     machine = token_transducer.Transducer(PATH, most_cells=1)
     symbols, bounds = token_transducer.symbols_of(["hello world", "again and again"])
@@ -98,7 +141,7 @@ def test_blocks_round_trip():
 
 def test_token_files(spark, tmp_path):
     rows = [(i * 7 % 1000, t) for i, t in enumerate(TEXTS)] + [(None, "no id"), (7, "twice"), (7, "twice")]
-    df = spark.createDataFrame(rows, "doc_id long, text string").withColumnRenamed("none", "x")
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "doc_id AS seq", "text AS uri", "doc_id AS start", "doc_id AS ids")
     manifest = token_files.write_tokens(df, f"file://{tmp_path}/t", PATH, file_bytes=2_000)
     assert manifest.count() > 8
     got = sorted(map(tuple, token_files.read_tokens(manifest).collect()), key=lambda r: r[1])

@@ -110,22 +110,61 @@ def test_token_counts(spark):
     assert got == sorted(want, key=str)
 
 
-def test_chunks_and_decoding(spark):
-    encoder, decoder = bpe_chunks.ChunkEncoder(PATH), bpe_chunks.Decoder(PATH)
-    for _ in range(2):
-        assert [x.tolist() for x in encoder.encode(TEXTS)] == WANT
+def test_joined_pieces():
+    """Texts cut anywhere and put together again, whatever stands at the joins."""
+    joined, decoder, rng = bpe_chunks.Joined(PATH), bpe_chunks.Decoder(PATH), random.Random(4)
     assert all(decoder.decode(w).decode() == LIBRARY.decode(w, skip_special_tokens=False) for w in WANT)
-    passage = " ".join(str(random.random()) for _ in range(300))
-    made = encoder.made
-    encoder.encode([passage])
-    once = encoder.made - made
-    encoder.encode(["other words before " + passage, passage + " and others after"])
-    assert encoder.made - made < once + 8  # the passage's chunks are known wherever it stands
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "doc_id long, text string")
-    for r in bpe_chunks.encode_decode(df, PATH, ["n_tokens", "ids", "ids_sha256", "decoded_sha256", "decoded"]).collect():
+    for most in (1, 5, 60, 1000):
+        cut = []
+        for t in TEXTS:
+            raw, at = (t or "").encode(), [0]
+            while at[-1] < len(raw):
+                at.append(min(len(raw), at[-1] + rng.randint(1, most)))
+                while at[-1] < len(raw) and raw[at[-1]] & 0xC0 == 0x80:
+                    at[-1] += 1
+            cut.append(joined.pieces([raw[a:b] for a, b in zip(at, at[1:])]))
+        assert [x.tolist() if x.size else [] for x in joined.join([c or joined.pieces([b""]) for c in cut])] == WANT
+
+
+def test_windows_grow_until_they_agree():
+    joined = bpe_chunks.Joined(PATH)
+    left, right = joined.pieces([b"one two three fo", b"ur five six seven"])
+    wrong = right._replace(ids=right.ids[::-1].copy())
+    with pytest.raises(ValueError):
+        joined.join([[left, wrong]])
+    assert joined.join([[left, right]])[0].tolist() == LIBRARY.encode("one two three four five six seven", add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("bits", [1 << 25, 64])
+def test_chunks_are_encoded_once(spark, bits, monkeypatch):
+    """A passage in documents of different tasks: its chunks are one row each, and with a full filter, that lets all through, ids are the same."""
+    monkeypatch.setattr(bpe_chunks, "FILTER_BITS", bits)
+    rng = random.Random(9)
+    passage = " ".join(f"{rng.random()}" for _ in range(900))
+    texts = [f"own words {i} {passage} and {i * i} after" if i % 2 else passage[i * 7 :] for i in range(40)] + [None, "", "short", passage * 3, passage * 3]
+    df = spark.createDataFrame([(i % 30 or None, t, i, i) for i, t in enumerate(texts)], "doc_id long, text string, number long, k0 long").repartition(8)
+    count = {}
+    for t in texts:
+        for c in bpe_chunks.chunks_of(t):
+            count[c] = count.get(c, 0) + 1
+    rows = df.select("doc_id", "text")
+    read = bpe_chunks._read(rows, PATH, ["n_tokens"], bpe_chunks.shared_chunks(rows))
+    got = [(r["k0"], r["k1"]) for r in bpe_chunks.encoded_chunks(read, PATH).collect()]
+    assert len(got) == len(set(got)) and {bpe_chunks.digest(c) for c, n in count.items() if n > 1} <= set(got) <= {bpe_chunks.digest(c) for c in count}
+    assert bits == 64 or len(got) == sum(n > 1 for n in count.values()) > 5
+    want = [(i % 30 or -1, LIBRARY.encode(t or "", add_special_tokens=False).ids) for i, t in enumerate(texts)]
+    assert sorted((r["doc_id"] or -1, r["ids"]) for r in bpe_chunks.encode_decode(df, PATH, ["ids"]).collect()) == sorted(want)
+    assert bpe_chunks.encode_decode(df.limit(0), PATH, ["ids", "decoded"]).count() == 0
+
+
+def test_chunks_and_decoding(spark):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)] * 2, "doc_id long, text string")
+    got = bpe_chunks.encode_decode(df, PATH, ["n_tokens", "ids", "ids_sha256", "decoded_sha256", "decoded"]).collect()
+    assert len(got) == 2 * len(TEXTS)
+    for r in got:
         w = WANT[r["doc_id"]]
         assert r["ids"] == w and r["n_tokens"] == len(w) and r["ids_sha256"] == hashlib.sha256(" ".join(map(str, w)).encode()).hexdigest()
-        assert r["decoded_sha256"] == hashlib.sha256(LIBRARY.decode(w, skip_special_tokens=False).encode()).hexdigest()
+        assert r["decoded"] == LIBRARY.decode(w, skip_special_tokens=False) and r["decoded_sha256"] == hashlib.sha256(r["decoded"].encode()).hexdigest()
 
 
 def test_blocks_round_trip():

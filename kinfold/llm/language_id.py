@@ -28,23 +28,28 @@ _SHIFT = np.uint64(64 - 16)
 
 
 def ngrams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """(buckets, counts) of a whole text; both empty if it has no letter."""
-    total = None
-    for a in range(0, len(text or ""), PIECE):
-        cp = wordbpe.code_points(text[max(0, a - 2) : a + PIECE].lower())
+    """(buckets, counts) of a whole text, the same whatever ``PIECE`` is; both empty if it has no letter."""
+    total, within, any_letter = np.zeros(BUCKETS, dtype=np.int64), False, False
+    # The letters, one blank before the first, one after each run, and one more at the end; its last two go with the next piece.
+    last = np.array([32], dtype=np.uint64)
+    text = (text or "").replace("Σ", "σ")  # the one letter whose lower case depends on its neighbours
+    for a in range(0, len(text), PIECE):
+        cp = wordbpe.code_points(text[a : a + PIECE].lower())
         letter = wordbpe.classes()[cp] == wordbpe.LETTER
         keep = letter.copy()
-        keep[1:] |= letter[:-1]  # one blank after each run of letters
-        c = np.where(letter, cp, 32)[keep].astype(np.uint64)
-        if not letter.any():
-            continue
-        c = np.concatenate(([np.uint64(32)], c, [np.uint64(32)]))
+        keep[1:] |= letter[:-1]
+        keep[0] |= within
+        within, any_letter = bool(letter[-1]), any_letter or bool(letter.any())
+        new = np.where(letter, cp, 32)[keep].astype(np.uint64)
+        if a + PIECE >= len(text):
+            new = np.append(new, np.uint64(32))
+        c = np.concatenate((last, new))
         two = c[:-1] * np.uint64(0x110000) + c[1:]
         three = two[:-1] * np.uint64(0x110000) + c[2:]
-        code = np.concatenate((c[c != 32], two, three))
-        counts = np.bincount(((code + np.uint64(1)) * _ODD >> _SHIFT).astype(np.int64), minlength=BUCKETS)
-        total = counts if total is None else total + counts
-    if total is None:
+        code = np.concatenate((new[new != 32], two[len(last) - 1 :], three))
+        total += np.bincount(((code + np.uint64(1)) * _ODD >> _SHIFT).astype(np.int64), minlength=BUCKETS)
+        last = c[-2:]
+    if not any_letter:
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
     at = np.flatnonzero(total)
     return at, total[at]

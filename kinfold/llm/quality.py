@@ -8,6 +8,9 @@ lenient on: H0 says that the cutoff rejects a share of good documents above ``ri
 good documents, whichever certified cutoffs are used.  Of these the one with the largest share of bad rejected less ``WEIGHT`` times the
 share of good ones is taken; a rule without a useful one is off in that stratum.
 
+The bound is for independent trials, so labelled documents of one text are one trial, good if any of them is.  Near copies are still trials
+of their own: where a corpus has many among its labelled documents the bound is that much weaker.  "Good documents" are those that the base rules keep.
+
 Null texts have no words.  A doc_id with several labels is good if any label says so; null labels, and labels of unknown ids, are ignored.  Without
 labels only the base rules hold.  Rows are never merged: repeated rows give repeated rows, no rows none.
 """
@@ -153,11 +156,16 @@ def choose(grid: list[float], good: list[int], bad: list[int], risk: float, leve
     return best
 
 
+def _text_hash() -> F.Column:
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+
+
 def cutoffs(measured: DataFrame, labels: DataFrame, risk: float = 0.05, level: float = 0.05) -> DataFrame:
-    """stratum, rule, cutoff for every certified and useful cutoff.  measured: doc_id, __stratum, __measures; labels: doc_id, quality."""
+    """stratum, rule, cutoff for every certified and useful cutoff.  measured: doc_id, __stratum, __copy (a hash of the text), __measures; labels: doc_id, quality."""
     known = labels.select(storage.as_long("doc_id").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("doc_id is not null and quality is not null")
     known = known.groupBy("doc_id").agg(F.max("quality").alias("quality"))
     rows = measured.where(~base_failed()).join(known, "doc_id")
+    rows = rows.groupBy("__stratum", "__copy", "__measures").agg(F.max("quality").alias("quality"))
     scored = [F.struct(F.lit(rule).alias("rule"), sum(F.when(score > c, 1).otherwise(0) for c in GRIDS[rule]).alias("above")) for rule, score in _scores("__measures").items()]
     counts = rows.select("__stratum", "quality", F.explode(F.array(*scored)).alias("s")).groupBy("__stratum", "s.rule", "s.above").agg(F.sum(F.when(F.col("quality") > 0, 1).otherwise(0)).alias("good"), F.sum(F.when(F.col("quality") > 0, 0).otherwise(1)).alias("bad"))
     counts = storage.staged(counts, "quality-counts")
@@ -192,7 +200,7 @@ def judged(measured: DataFrame, limits: DataFrame) -> DataFrame:
 
 def quality_verdicts(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = 0.05, level: float = 0.05) -> DataFrame:
     """doc_id, the ``MEASURES`` but n_lines, base_failed and kept of every row of docs (doc_id, text and the stratum's column)."""
-    rows = docs.select(storage.as_long("doc_id").alias("doc_id"), F.col("text").cast("string").alias("text"), _stratum(stratum).alias("__stratum"))
+    rows = docs.select(storage.as_long("doc_id").alias("doc_id"), F.col("text").cast("string").alias("text"), _stratum(stratum).alias("__stratum"), _text_hash().alias("__copy"))
     measured = storage.staged(with_measures(rows, drop_text=True), "quality-measures")
     verdict = judged(measured, cutoffs(measured, labels, risk, level))
     return verdict.select("doc_id", *(F.col(f"__measures.{m}").alias(m) for m in MEASURES[:5]), base_failed().alias("base_failed"), F.col("__kept").alias("kept"))
@@ -201,7 +209,7 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame, stratum: str = "lang",
 def keep_good(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = 0.05, level: float = 0.05) -> DataFrame:
     """The rows of docs that no rule rejects, with the columns that docs has.  Cutoffs come from the labelled rows of docs."""
     # All rows are measured twice rather than labelled ones picked out first: a join would move whole texts.
-    skinny = docs.select(storage.as_long("doc_id").alias("doc_id"), F.col("text").cast("string").alias("text"), _stratum(stratum).alias("__stratum"))
+    skinny = docs.select(storage.as_long("doc_id").alias("doc_id"), F.col("text").cast("string").alias("text"), _stratum(stratum).alias("__stratum"), _text_hash().alias("__copy"))
     limits = cutoffs(with_measures(skinny, drop_text=True), labels, risk, level)
     rows = with_measures(docs.withColumn("__stratum", _stratum(stratum)))
     return judged(rows, limits).where("__kept").select(*docs.columns)

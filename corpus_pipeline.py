@@ -24,7 +24,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data and secrets replaced."""
-    return pii.with_surrogates(docs, pii.DEMO_KEY)
+    return pii.with_surrogates(docs, pii.key_of(spark))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -86,49 +86,42 @@ def _apart(a: str, b: str) -> Column:
     return sum((F.bit_count(F.col(f"{a}{n}").bitwiseXOR(F.col(f"{b}{n}"))) for n in _NAMES[1:]), F.bit_count(F.col(f"{a}{_NAMES[0]}").bitwiseXOR(F.col(f"{b}{_NAMES[0]}"))))
 
 
-def _low(mask: int) -> int:
-    return (mask & -mask).bit_length() - 1
-
-
-def _key(sig: int, fp: Column, mask: int, wiped: int = 0) -> Column:
-    """One number of a signature's number and the bits of the fingerprint under the mask but the wiped ones."""
-    bits = F.shiftrightunsigned(fp, _low(mask)).bitwiseAND(F.lit((mask & ~wiped) >> _low(mask)))
-    return F.lit(sig << 32) + bits
+#: Lowest bit and length of each segment of a print, and the length of the longest.
+_AT = [((m & -m).bit_length() - 1, m.bit_count()) for m in _MASKS]
+_LONGEST = max(n for _, n in _AT)
 
 
 def _wholes(nodes: DataFrame) -> DataFrame:
-    """All columns of nodes and k, once for each whole segment."""
-    keys = [_key(100 * n + 64 + s, F.col(name), mask) for n, name in enumerate(_NAMES) for s, mask in enumerate(_MASKS)]
+    """All columns of nodes and k, once for each whole segment: the segment's number and, in the low 32 bits, its value."""
+    keys = [F.lit((n * SEGMENTS + s) << 32) + F.shiftrightunsigned(name, low).bitwiseAND(F.lit((1 << size) - 1)) for n, name in enumerate(_NAMES) for s, (low, size) in enumerate(_AT)]
     return nodes.withColumn("k", F.explode(F.array(*keys)))
 
 
+def _wiped(k: Column, bit: Column) -> Column:
+    """The signature of a whole segment with one of its bits wiped out; the segment itself for bit -1."""
+    mark = F.call_function("shiftleft", F.lit(1).cast("long"), bit)
+    number = F.lit(PRINTS * SEGMENTS) + F.shiftright(k, 32) * _LONGEST + bit
+    return F.when(bit < 0, k).otherwise(F.call_function("shiftleft", number, F.lit(32)) + k.bitwiseAND(F.lit((1 << 32) - 1)).bitwiseAND(F.bitwise_not(mark)))
+
+
+def _with_bits(rows: DataFrame) -> DataFrame:
+    """rows (with k of whole segments) once for each ``bit`` of the segment and once for -1."""
+    size = F.element_at(F.array(*(F.lit(n) for _, n in _AT)), (F.shiftright("k", 32) % SEGMENTS + 1).cast("int"))
+    return rows.withColumn("bit", F.explode(F.sequence(F.lit(-1), F.lit(_LONGEST - 1)))).where(F.col("bit") < size)
+
+
 def _variants(nodes: DataFrame, side: int | None) -> DataFrame:
     """k, node, label, fp: whole segments, and those with one bit wiped that is ``side`` in this fingerprint (None: either, and a column with it; whole segments: 2)."""
-    made = None
-    for n, name in enumerate(_NAMES):
-        fp, keys = F.col(name), []
-        for s, mask in enumerate(_MASKS):
-            keys.append(F.struct(_key(100 * n + 64 + s, fp, mask).alias("k"), F.lit(2).alias("side")))
-            for b in range(64):
-                if mask >> b & 1:
-                    keys.append(F.struct(_key(100 * n + b, fp, mask, 1 << b).alias("k"), F.shiftrightunsigned(fp, b).bitwiseAND(F.lit(1)).cast("int").alias("side")))
-        part = nodes.select("node", "label", fp.alias("fp"), F.explode(F.array(*keys)).alias("x"))
-        part = part.select("x.k", "x.side", "node", "label", "fp")
-        part = part if side is None else part.where(F.col("side").isin(side, 2)).drop("side")
-        made = part if made is None else made.unionByName(part)
-    return made
+    fp = F.element_at(F.array(*_NAMES), (F.floor(F.shiftright("k", 32) / SEGMENTS) + 1).cast("int")).alias("fp")
+    own = F.when(F.col("bit") < 0, 2).otherwise(F.call_function("shiftright", F.col("k"), F.greatest("bit", F.lit(0))).bitwiseAND(F.lit(1)).cast("int"))
+    rows = _with_bits(_wholes(nodes).select("k", "node", "label", fp)).withColumn("side", own)
+    rows = rows if side is None else rows.where(F.col("side").isin(side, 2))
+    return rows.select(_wiped(F.col("k"), F.col("bit")).alias("k"), *(["side"] if side is None else []), "node", "label", "fp")
 
 
 def _around(crowded: DataFrame) -> DataFrame:
     """k of the crowded whole segments and of their variants with a wiped bit."""
-    made = crowded.select("k")
-    sig = F.shiftright("k", 32)
-    for n in range(PRINTS):
-        for s, mask in enumerate(_MASKS):
-            bits = [b for b in range(64) if mask >> b & 1]
-            wiped = [F.lit((100 * n + b) << 32) + F.col("k").bitwiseAND(F.lit((1 << 32) - 1 & ~(1 << (b - _low(mask))))) for b in bits]
-            made = made.unionByName(crowded.where(sig == 100 * n + 64 + s).select(F.explode(F.array(*wiped)).alias("k")))
-    return made.distinct()
+    return _with_bits(crowded.select("k")).select(_wiped(F.col("k"), F.col("bit")).alias("k")).distinct()
 
 
 class _Verifier:
@@ -224,7 +217,7 @@ def links(nodes: DataFrame, verifier: _Verifier) -> DataFrame:
         found = storage.staged(found.unionByName(more), "found")
         labelled = _labelled(nodes, found)
     rows = [_variants(labelled, 0), _variants(labelled, 1)]
-    wild = F.shiftright("k", 32) % 100 < 64
+    wild = F.shiftright("k", 32) >= PRINTS * SEGMENTS
     near = F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))) <= PRINT_RADIUS
     other = F.col("x.label") != F.col("y.label")
     pair = [F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")]

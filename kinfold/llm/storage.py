@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,9 @@ from pyspark.sql import functions as F
 DEFAULT_FOLDER = "/tmp/checkpoints"
 #: Characters of text that a Python task turns at a time.
 BATCH_CHARS = 1_500_000
+#: Rows that go to Python in one Arrow batch while a table is staged: few, as texts are long.
+BATCH_ROWS = 1_000
+_ROWS_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: A table is broadcast up to this number of short rows, counted first; beyond it it's joined by shuffle.
 FEW_ROWS = 1_000_000
 
@@ -40,12 +44,24 @@ def staged(df: DataFrame, what: str) -> DataFrame:
     """The rows written as Parquet in the shared folder and read again: cuts the lineage, and a lost executor loses nothing."""
     spark = df.sparkSession
     path = new_folder(spark, what)
-    df.write.parquet(path)
+    with _small_batches(spark):
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_at = path
     return out
 
 
+@contextmanager
+def _small_batches(spark: SparkSession):
+    """Small Arrow batches as long as a table of ours is written; then the session's setting holds again."""
+    before = spark.conf.get(_ROWS_CONF)
+    spark.conf.set(_ROWS_CONF, str(min(BATCH_ROWS, int(before)) if int(before) > 0 else BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(_ROWS_CONF, before)
+
+
 def remove(*tables: DataFrame) -> None:
     """Deletes staged tables that nothing will read again."""
     for df in tables:

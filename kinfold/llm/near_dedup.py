@@ -5,15 +5,16 @@ index holds every segment whole and with one bit wiped out.  So two fingerprints
 those within ``PRINT_RADIUS`` bits of the print and ``RADIUS`` bits of the whole are verified by the exact Jaccard similarity of the shingle sets.
 Every link is verified before it is used, and none is thinned before that.
 
-Large groups would meet in pairs without end, so links are sought twice:
+Large groups would meet in pairs without end, so links are sought in steps:
 
 1. Every node (a different shingle set) is verified against one leader: the closest one among the leaders of the buckets of equal segments that it is in.
-   In crowded buckets (over ``CROWD`` nodes) nodes that are not of the bucket's largest group yet are held against other members of that group, turn by turn.
+   In buckets of over ``FULL`` nodes those that are not of the bucket's largest group yet are held against other members of that group, turn by turn.
    The links so found give each node a label; what has one label is known to be of one group.
-2. The index is joined for pairs of *different* labels.  A bucket whose nodes all have one label, as those of a group of many thousand near copies do,
-   makes no pair.  In crowded buckets the nodes outside the largest group are joined with all the others, so that group is never joined with itself.
+2. The index is joined for pairs of *different* labels.  Labels of ``LARGE`` nodes or more don't take part node by node.  In the buckets that they are in, a semi-join tells
+   which other nodes come near the bucket's largest label at all, a row a node, and only nodes of other labels are joined in pairs.
+3. Nodes that come near a large label are held against all its members, block by block, until a link is found or none is left.
 
-Both steps' links together join what all the links that the index can find join.  Rows grow as the nodes and the pairs of alike fingerprints in different groups.
+All links together join what all the links that the index can find join.  Rows grow as the nodes, and as the pairs of near fingerprints of small groups.
 
 A document without words has the empty set, and all of those are copies.  Null texts count as empty.  doc_ids may have any type that can be ordered;
 rows without one all stay, as there is nothing to tell them by.  Of rows equal in doc_id and text one stays.  An empty table gives no rows.
@@ -36,10 +37,13 @@ from .simhash_dedup import remixed, segment_masks, shingle_hashes
 WORDS, SIMILARITY = 5, 0.8
 PRINTS, SEGMENTS = 4, 3
 #: Bits that may differ in one print and in all.  At similarity 0.8 about 15 % of the bits do: 9.7 +- 2.9 and 38.7 +- 5.7.
-PRINT_RADIUS, RADIUS = 18, 58
-CROWD = 512
-#: Turns in which the nodes of crowded buckets look for their group.
-TURNS = 6
+PRINT_RADIUS, RADIUS = 18, 50
+#: In buckets of more nodes than this, those outside the largest group look for it, for so many turns at most.
+FULL, TURNS = 32, 4
+#: Nodes of a label from which on it is not joined node by node.
+LARGE = 16
+#: Nodes of a large label, and bytes of their sets, that a task holds against others at a time.
+BLOCK, BLOCK_BYTES = 1024, 32_000_000
 #: Members that a task holds against one leader.
 FAN = 256
 _NAMES = [f"p{k}" for k in range(PRINTS)]
@@ -119,11 +123,6 @@ def _variants(nodes: DataFrame, side: int | None) -> DataFrame:
     return rows.select(_wiped(F.col("k"), F.col("bit")).alias("k"), *(["side"] if side is None else []), "node", "label", "fp")
 
 
-def _around(crowded: DataFrame) -> DataFrame:
-    """k of the crowded whole segments and of their variants with a wiped bit."""
-    return _with_bits(crowded.select("k")).select(_wiped(F.col("k"), F.col("bit")).alias("k")).distinct()
-
-
 class _Verifier:
     """Holds pairs of nodes against the similarity.  rows: id, h, text; nodes: node, rep (struct of id and h)."""
 
@@ -181,6 +180,58 @@ class _Verifier:
         return out
 
 
+    def near_large(self, near: DataFrame, labelled: DataFrame) -> DataFrame:
+        """Links (a, b), staged, between nodes and the large labels that they come near: one at least for each pair of labels and block that has any.
+
+        near: node, label, large (another label); staged.  labelled: node, label and the prints.
+        """
+        similarity = self.similarity
+
+        def compare(batches):
+            import pyarrow as pa
+
+            group, ids, prints, sets, linked = None, [], [], [], set()
+            for batch in batches:
+                a, b = [], []
+                for row in zip(*(batch[c].to_pylist() for c in ("large", "block", "role", "node", "label", *_NAMES, "hashes"))):
+                    large, block, role, node, label = row[:5]
+                    if group != (large, block):
+                        group, ids, prints, sets, linked = (large, block), [], [], [], set()
+                    own = np.frombuffer(row[-1], "<u8")
+                    if not role:
+                        ids.append(node)
+                        prints.append(row[5:-1])
+                        sets.append(own)
+                        continue
+                    if isinstance(prints, list):
+                        prints = np.array(prints, dtype=np.int64).reshape(-1, PRINTS).view(np.uint64)
+                    if label in linked:
+                        continue
+                    apart = np.bitwise_count(prints ^ np.array(row[5:-1], dtype=np.int64).view(np.uint64)).sum(axis=1)
+                    for j in np.argsort(apart, kind="stable").tolist():
+                        if apart[j] > RADIUS:
+                            break
+                        both = np.intersect1d(own, sets[j], assume_unique=True).size
+                        if both >= similarity * (own.size + sets[j].size - both):
+                            a.append(ids[j])
+                            b.append(node)
+                            linked.add(label)
+                            break
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+        large = storage.bounded(near.select(F.col("large").alias("label")).distinct())
+        members = storage.staged(labelled.join(large, "label").select(F.col("label").alias("large"), "node"), "of-large")
+        sets = self.sets(members.select("node").unionByName(near.select("node")).distinct()).hint("merge")
+        prints = labelled.select("node", "label", *_NAMES)
+        mine = members.join(sets, "node").select("large", "node", F.length("hashes").alias("size"))
+        blocks = storage.staged(mine.groupBy("large").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("size") / BLOCK_BYTES, F.lit(1))).cast("int").alias("n")), "blocks")
+        ours = members.join(blocks, "large").select("large", F.pmod(F.xxhash64("node"), F.col("n")).cast("int").alias("block"), F.lit(0).alias("role"), "node")
+        theirs = near.join(blocks, "large").select("large", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("block"), F.lit(1).alias("role"), "node")
+        met = ours.unionByName(theirs).join(prints, "node").join(sets, "node").repartition("large", "block").sortWithinPartitions("large", "block", "role")
+        met = met.select("large", "block", "role", "node", "label", *_NAMES, "hashes")
+        return storage.staged(storage.arrow_map(met, compare, "a long, b long"), "alike")
+
+
 def _labelled(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     member = components(edges)
     return storage.staged(nodes.join(member, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component"), "labelled")
@@ -204,14 +255,12 @@ def links(nodes: DataFrame, verifier: _Verifier) -> DataFrame:
     members = _wholes(labelled)
     found = verifier.alike(_led(members, _leaders(members, 0).where("n > 1").drop("n")))
     labelled = _labelled(nodes, found)
-    crowded = storage.staged(_wholes(labelled).groupBy("k").count().where(F.col("count") > CROWD).select("k"), "crowded")
-    some = not crowded.isEmpty()
-    for turn in range(1, TURNS + 1 if some else 0):
-        own = _wholes(labelled).join(storage.bounded(crowded), "k")
+    full = storage.staged(_wholes(labelled).groupBy("k").count().where(F.col("count") > FULL).select("k"), "full")
+    for turn in range(1, 1 if full.isEmpty() else TURNS + 1):
+        own = _wholes(labelled).join(storage.bounded(full), "k")
         major = storage.staged(own.groupBy("k", "label").count().groupBy("k").agg(F.max_by("label", "count").alias("major")), "major")
         own = own.join(storage.bounded(major), "k")
-        pairs = _led(own.where("label <> major").drop("major"), _leaders(own.where("label = major"), turn).drop("n"))
-        more = verifier.alike(pairs)
+        more = verifier.alike(_led(own.where("label <> major").drop("major"), _leaders(own.where("label = major"), turn).drop("n")))
         if more.isEmpty():
             break
         found = storage.staged(found.unionByName(more), "found")
@@ -220,18 +269,22 @@ def links(nodes: DataFrame, verifier: _Verifier) -> DataFrame:
     wild = F.shiftright("k", 32) >= PRINTS * SEGMENTS
     near = F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))) <= PRINT_RADIUS
     other = F.col("x.label") != F.col("y.label")
+    sides = (F.col("x.side") == 2) | (F.col("x.side") != F.col("y.side"))
     pair = [F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")]
+    large = storage.staged(labelled.groupBy("label").count().where(F.col("count") >= LARGE), "large")
+    some = not large.isEmpty()
     if some:
-        shut = storage.staged(_around(crowded), "shut")
-        rows = [r.join(storage.bounded(shut), "k", "left_anti") for r in rows]
+        of_large = labelled.join(storage.bounded(large), "label")
+        counts = storage.staged(_variants(of_large, None).groupBy("k", "label").count().groupBy("k").agg(F.max_by("label", "count").alias("major")), "major")
+        rows = [r.join(storage.bounded(counts), "k", "left_anti") for r in rows]
     met = rows[0].alias("x").join(rows[1].hint("merge").alias("y"), "k").where(other & near & (wild | (F.col("x.node") < F.col("y.node")))).select(*pair)
     if some:
-        own = storage.staged(_variants(labelled, None).join(storage.bounded(shut), "k", "left_semi"), "crowd")
-        major = own.groupBy("k", "label").count().groupBy("k").agg(F.max_by("label", "count").alias("major"))
-        own = own.join(storage.bounded(storage.staged(major, "major")), "k")
-        minor = storage.staged(own.where("label <> major"), "minor")
-        once = (F.col("y.label") == F.col("y.major")) | (F.col("x.node") < F.col("y.node"))
-        met = met.unionByName(minor.alias("x").join(own.alias("y"), "k").where(other & near & once & ((F.col("x.side") == 2) | (F.col("x.side") != F.col("y.side")))).select(*pair))
+        own = storage.staged(_variants(labelled, None).join(storage.bounded(counts), "k"), "around-large")
+        minor, major = own.where("label <> major"), own.where("label = major")
+        met = met.unionByName(minor.alias("x").join(minor.alias("y"), "k").where(other & near & sides & (F.col("x.node") < F.col("y.node"))).select(*pair))
+        close = minor.alias("x").join(major.hint("merge").alias("y"), (F.col("x.k") == F.col("y.k")) & near & sides, "left_semi")
+        close = storage.staged(close.select("node", "label", F.col("major").alias("large")).distinct(), "near-large")
+        found = storage.staged(found.unionByName(verifier.near_large(close, labelled)), "found")
     prints = nodes.select("node", *_NAMES)
     both = met.distinct().join(prints.select(F.col("node").alias("a"), F.struct(*_NAMES).alias("u")), "a").join(prints.select(F.col("node").alias("b"), F.struct(*_NAMES).alias("v")), "b")
     pairs = storage.staged(both.where(_apart("u.", "v.") <= RADIUS).select("a", "b"), "pairs")

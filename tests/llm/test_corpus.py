@@ -143,10 +143,12 @@ def linked_plainly(texts):
     return groups(range(len(texts)), [(i, j) for i in range(len(texts)) for j in range(i) if close(i, j)])
 
 
-@pytest.mark.parametrize("crowd", [512, 16])
-def test_keep_first_of_a_crowd(spark, crowd, monkeypatch):
-    """Edited copies fall into the groups that all their pairs make, in crowded buckets and in others."""
-    monkeypatch.setattr(near_dedup, "CROWD", crowd)
+@pytest.mark.parametrize("full,large,block", [(512, 10**6, 1024), (16, 16, 32), (4, 2, 1024)])
+def test_keep_first_of_a_crowd(spark, full, large, block, monkeypatch):
+    """Edited copies fall into the groups that all their pairs make, as large labels, in several blocks, and node by node."""
+    monkeypatch.setattr(near_dedup, "FULL", full)
+    monkeypatch.setattr(near_dedup, "LARGE", large)
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
     monkeypatch.setattr(near_dedup, "FAN", 8)
     rng = np.random.default_rng(5)
     texts = edited_family(rng, 250, 400, 30) + edited_family(rng, 60, 100, 12) + edited_family(rng, 20, 300, 0)

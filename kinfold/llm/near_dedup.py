@@ -43,7 +43,7 @@ FULL, TURNS = 32, 4
 #: Nodes of a label from which on it is not joined node by node.
 LARGE = 16
 #: Nodes of a large label, and bytes of their sets, that a task holds against others at a time.
-BLOCK, BLOCK_BYTES = 1024, 32_000_000
+BLOCK, BLOCK_BYTES = 1024, 16_000_000
 #: Members that a task holds against one leader.
 FAN = 256
 _NAMES = [f"p{k}" for k in range(PRINTS)]
@@ -154,7 +154,7 @@ class _Verifier:
             leader, own = None, None
             for batch in batches:
                 a, b = [], []
-                for lead, salt, role, node, raw in zip(*(batch[c].to_pylist() for c in ("a", "salt", "role", "node", "hashes"))):
+                for lead, salt, role, node, raw in storage.rows_of([batch], ("a", "salt", "role", "node", "hashes")):
                     if not role:
                         leader, own = (lead, salt), np.frombuffer(raw, "<u8")
                         continue
@@ -193,7 +193,7 @@ class _Verifier:
             group, ids, prints, sets, linked = None, [], [], [], set()
             for batch in batches:
                 a, b = [], []
-                for row in zip(*(batch[c].to_pylist() for c in ("large", "block", "role", "node", "label", *_NAMES, "hashes"))):
+                for row in storage.rows_of([batch], ("large", "block", "role", "node", "label", *_NAMES, "hashes")):
                     large, block, role, node, label = row[:5]
                     if group != (large, block):
                         group, ids, prints, sets, linked = (large, block), [], [], [], set()

@@ -40,7 +40,7 @@ WEIGHT = 20
 FEW_STRATA = 5_000
 BLANKS = " \t\n\r\x0b\x0c"
 #: Above so many words 5-word windows are numbered with numpy rather than kept as tuples.
-MANY_WORDS = 200_000
+MANY_WORDS = 50_000
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"]
 
 

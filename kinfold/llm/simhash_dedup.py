@@ -25,7 +25,7 @@ from .components import components
 
 CROWD = 512
 #: Bytes of one text turned at a time; longer ones are cut at white space and their votes added.
-PIECE = 4_000_000
+PIECE = 1_000_000
 
 
 def shingle_hashes(text: str | None, words: int, seed: int = 42):

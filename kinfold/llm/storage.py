@@ -104,8 +104,32 @@ class Writer:
 
 
 def arrow_map(df: DataFrame, run, schema) -> DataFrame:
-    """df.mapInArrow.  Batches are bounded by bytes (spark.sql.execution.arrow.maxBytesPerBatch); ``slices`` cuts them further."""
-    return df.mapInArrow(run, schema)
+    """df.mapInArrow.  Batches are bounded by bytes (spark.sql.execution.arrow.maxBytesPerBatch); ``slices`` cuts them further.
+
+    A worker gives back the memory that a task has freed, as it will wait for the next one beside others.
+    """
+
+    def tidy(batches):
+        yield from run(batches)
+        import ctypes
+
+        import pyarrow as pa
+
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library, which has no such call
+            pass
+
+    return df.mapInArrow(tidy, schema)
+
+
+def rows_of(batches, columns, most: int = 256) -> Iterator[tuple]:
+    """The rows of Arrow batches as tuples of the columns, few at a time."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, most):
+            part = batch.slice(a, most)
+            yield from zip(*(part[c].to_pylist() for c in columns))
 
 
 def slices(batches, column: str, most: int = BATCH_CHARS) -> Iterator:

@@ -33,7 +33,7 @@ FILTER_BITS = 1 << 25
 #: Words beyond a join's edges with which agreement is tried before the vocabulary is held unfit.
 EDGE_WORDS = 2
 #: Shared chunks that a task remembers having sent, so that it doesn't send them again.
-SENT = 200_000
+SENT = 50_000
 _GEAR = np.random.default_rng(7).integers(0, 2**32, size=256, dtype=np.uint32)
 
 
@@ -139,7 +139,7 @@ class Decoder:
     """Ids to text as the library's decode without a decoder: the tokens' own strings, joined by blanks."""
 
     def __init__(self, path: str):
-        names = wordbpe.Spec(path).names
+        names = wordbpe.encoder(path).spec.names
         self.names = [n.encode() for n in names]
         self.decimals = [str(i).encode() for i in range(len(names))]
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 DEFAULT_FOLDER = "/tmp/checkpoints"
 #: Characters of text that a Python task turns at a time.
-BATCH_CHARS = 1_500_000
+BATCH_CHARS = 500_000
 #: Rows that go to Python in one Arrow batch while a table is staged: few, as texts are long.
 BATCH_ROWS = 1_000
 _ROWS_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"

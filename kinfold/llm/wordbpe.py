@@ -155,7 +155,7 @@ class Memory(dict):
 class PretokenEncoder:
     """Ids of whole texts: pre-tokens cut here, encoded by the library's BPE model, remembered in a bounded memo."""
 
-    def __init__(self, path: str, remembered: int = 150_000):
+    def __init__(self, path: str, remembered: int = 60_000):
         from tokenizers import Tokenizer
 
         self.spec = Spec(path)
@@ -293,7 +293,7 @@ def _hash_tables(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 _ENCODERS: dict[tuple[str, int], PretokenEncoder] = {}
 
 
-def encoder(path: str, remembered: int = 150_000) -> PretokenEncoder:
+def encoder(path: str, remembered: int = 60_000) -> PretokenEncoder:
     """One encoder a process, so that the memo serves all tasks of a worker."""
     key = (path, remembered)
     if key not in _ENCODERS:

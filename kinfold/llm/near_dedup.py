@@ -37,7 +37,7 @@ from .simhash_dedup import remixed, segment_masks, shingle_hashes
 WORDS, SIMILARITY = 5, 0.8
 PRINTS, SEGMENTS = 4, 3
 #: Bits that may differ in one print and in all.  At similarity 0.8 about 15 % of the bits do: 9.7 +- 2.9 and 38.7 +- 5.7.
-PRINT_RADIUS, RADIUS = 18, 50
+PRINT_RADIUS, RADIUS = 13, 50
 #: In buckets of more nodes than this, those outside the largest group look for it, for so many turns at most.
 FULL, TURNS = 32, 4
 #: Nodes of a label from which on it is not joined node by node.
@@ -142,10 +142,12 @@ class _Verifier:
 
         at = storage.staged(wanted.join(self.nodes, "node").select("node", "rep.id", "rep.h"), "wanted")
         texts = self.rows.join(storage.bounded(at), ["id", "h"]).select("node", "text")
-        return storage.staged(storage.arrow_map(texts, run, "node long, hashes binary").dropDuplicates(["node"]), "shingle-sets")
+        out = storage.staged(storage.arrow_map(texts, run, "node long, hashes binary").dropDuplicates(["node"]), "shingle-sets")
+        storage.remove(at)
+        return out
 
     def alike(self, pairs: DataFrame) -> DataFrame:
-        """Those of the pairs (a, b; staged) whose sets are alike, staged."""
+        """Those of the pairs (a, b; staged, and removed) whose sets are alike, staged."""
         similarity = self.similarity
 
         def compare(batches):
@@ -221,7 +223,8 @@ class _Verifier:
 
         large = storage.bounded(near.select(F.col("large").alias("label")).distinct())
         members = storage.staged(labelled.join(large, "label").select(F.col("label").alias("large"), "node"), "of-large")
-        sets = self.sets(members.select("node").unionByName(near.select("node")).distinct()).hint("merge")
+        stored = self.sets(members.select("node").unionByName(near.select("node")).distinct())
+        sets = stored.hint("merge")
         prints = labelled.select("node", "label", *_NAMES)
         mine = members.join(sets, "node").select("large", "node", F.length("hashes").alias("size"))
         blocks = storage.staged(mine.groupBy("large").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("size") / BLOCK_BYTES, F.lit(1))).cast("int").alias("n")), "blocks")
@@ -229,12 +232,16 @@ class _Verifier:
         theirs = near.join(blocks, "large").select("large", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("block"), F.lit(1).alias("role"), "node")
         met = ours.unionByName(theirs).join(prints, "node").join(sets, "node").repartition("large", "block").sortWithinPartitions("large", "block", "role")
         met = met.select("large", "block", "role", "node", "label", *_NAMES, "hashes")
-        return storage.staged(storage.arrow_map(met, compare, "a long, b long"), "alike")
+        out = storage.staged(storage.arrow_map(met, compare, "a long, b long"), "alike")
+        storage.remove(members, stored, blocks)
+        return out
 
 
 def _labelled(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     member = components(edges)
-    return storage.staged(nodes.join(member, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component"), "labelled")
+    out = storage.staged(nodes.join(member, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component"), "labelled")
+    storage.remove(member)
+    return out
 
 
 def _led(members: DataFrame, leaders: DataFrame) -> DataFrame:
@@ -254,20 +261,29 @@ def links(nodes: DataFrame, verifier: _Verifier) -> DataFrame:
     labelled = nodes.withColumn("label", F.col("node"))
     members = _wholes(labelled)
     found = verifier.alike(_led(members, _leaders(members, 0).where("n > 1").drop("n")))
-    labelled = _labelled(nodes, found)
-    full = storage.staged(_wholes(labelled).groupBy("k").count().where(F.col("count") > FULL).select("k"), "full")
+    full = storage.staged(members.groupBy("k").count().where(F.col("count") > FULL).select("k"), "full")
+    # Only the nodes of full buckets are looked at turn by turn.
+    inside = storage.staged(members.drop("label").join(storage.bounded(full), "k"), "inside")
     for turn in range(1, 1 if full.isEmpty() else TURNS + 1):
-        own = _wholes(labelled).join(storage.bounded(full), "k")
+        own = _labelled(inside, found)
         major = storage.staged(own.groupBy("k", "label").count().groupBy("k").agg(F.max_by("label", "count").alias("major")), "major")
-        own = own.join(storage.bounded(major), "k")
-        more = verifier.alike(_led(own.where("label <> major").drop("major"), _leaders(own.where("label = major"), turn).drop("n")))
+        held = own.join(storage.bounded(major), "k")
+        more = verifier.alike(_led(held.where("label <> major").drop("major"), _leaders(held.where("label = major"), turn).drop("n")))
+        storage.remove(own, major)
         if more.isEmpty():
             break
-        found = storage.staged(found.unionByName(more), "found")
-        labelled = _labelled(nodes, found)
+        both = storage.staged(found.unionByName(more), "found")
+        storage.remove(found, more)
+        found = both
+    labelled = _labelled(nodes, found)
     rows = [_variants(labelled, 0), _variants(labelled, 1)]
-    wild = F.shiftright("k", 32) >= PRINTS * SEGMENTS
-    near = F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))) <= PRINT_RADIUS
+    wild = F.shiftright("x.k", 32) >= PRINTS * SEGMENTS
+    unlike = F.col("x.fp").bitwiseXOR(F.col("y.fp"))
+    near = F.bit_count(unlike) <= PRINT_RADIUS
+    # A pair counts at the first segment of a print in which it meets.
+    segment = F.when(wild, F.floor((F.shiftright("x.k", 32) - PRINTS * SEGMENTS) / _LONGEST)).otherwise(F.shiftright("x.k", 32)) % SEGMENTS
+    for s, mask in enumerate(_MASKS[:-1]):
+        near = near & ((segment <= s) | (F.bit_count(unlike.bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask))) > 1))
     other = F.col("x.label") != F.col("y.label")
     sides = (F.col("x.side") == 2) | (F.col("x.side") != F.col("y.side"))
     pair = [F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")]

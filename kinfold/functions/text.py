@@ -104,12 +104,9 @@ def numbers(c: Column) -> Column:
     return F.transform(F.regexp_extract_all(c, F.lit(r"(\d+)"), F.lit(1)), lambda n: F.regexp_replace(n, "^0+(?=[0-9])", ""))
 
 
-def distinctive(core: Column, country: Column) -> Column:
-    """A name without noise words and single letters."""
-    noise = F.array(*map(F.lit, lx.NOISE))
-    for land, words in lx.NOISE_BY_COUNTRY.items():
-        noise = F.when(country == land, F.array(*map(F.lit, [*lx.NOISE, *words]))).otherwise(noise)
-    return F.array_join(F.filter(tokens(core), lambda t: (F.length(t) > 1) & ~F.array_contains(noise, t)), " ")
+def distinctive(core: Column, noise: list[str] | None = None) -> Column:
+    """A name without single letters and the noise words, as ``mining.mine_noise`` finds them for a country or for all."""
+    return F.array_join(F.filter(tokens(core), lambda t: (F.length(t) > 1) & ~t.isin(noise or [])), " ")
 
 
 def script(c: Column) -> Column:

@@ -39,7 +39,7 @@ PRINTS, SEGMENTS = 4, 3
 #: Bits that may differ in one print and in all.  At similarity 0.8 about 15 % of the bits do: 9.7 +- 2.9 and 38.7 +- 5.7.
 PRINT_RADIUS, RADIUS = 13, 50
 #: In buckets of more nodes than this, those outside the largest group look for it, for so many turns at most.
-FULL, TURNS = 32, 4
+FULL, TURNS = 32, 2
 #: Nodes of a label from which on it is not joined node by node.
 LARGE = 16
 #: Nodes of a large label, and bytes of their sets, that a task holds against others at a time.

@@ -20,7 +20,7 @@ BATCH_CHARS = 500_000
 BATCH_ROWS = 1_000
 _ROWS_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: A table is broadcast up to this number of short rows, counted first; beyond it it's joined by shuffle.
-FEW_ROWS = 1_000_000
+FEW_ROWS = 250_000
 
 
 def shared_folder(spark: SparkSession) -> str:

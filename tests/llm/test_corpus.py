@@ -56,7 +56,9 @@ def test_links(spark, radius, segments, crowd):
         assert got == want
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [100_000, 0])
+def test_components(spark, few, monkeypatch):
+    monkeypatch.setattr(components, "FEW_EDGES", few)
     rng = np.random.default_rng(4)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, size=(200, 2))] + [(i, i + 1) for i in range(1000, 1100)] + [(2000, i) for i in range(2001, 2100)]
     df = spark.createDataFrame([*edges, (5, 5), (None, 3)], "a long, b long")

@@ -295,10 +295,10 @@ def links(nodes: DataFrame, verifier: _Verifier) -> DataFrame:
         rows = [r.join(storage.bounded(counts), "k", "left_anti") for r in rows]
     met = rows[0].alias("x").join(rows[1].hint("merge").alias("y"), "k").where(other & near & (wild | (F.col("x.node") < F.col("y.node")))).select(*pair)
     if some:
-        own = storage.staged(_variants(labelled, None).join(storage.bounded(counts), "k"), "around-large")
-        minor, major = own.where("label <> major"), own.where("label = major")
+        minor = storage.staged(_variants(labelled, None).join(storage.bounded(counts), "k").where("label <> major"), "minor")
         met = met.unionByName(minor.alias("x").join(minor.alias("y"), "k").where(other & near & sides & (F.col("x.node") < F.col("y.node"))).select(*pair))
-        close = minor.alias("x").join(major.hint("merge").alias("y"), (F.col("x.k") == F.col("y.k")) & near & sides, "left_semi")
+        theirs = _variants(of_large, None).hint("merge").alias("y")
+        close = minor.alias("x").join(theirs, (F.col("x.k") == F.col("y.k")) & (F.col("x.major") == F.col("y.label")) & near & sides, "left_semi")
         close = storage.staged(close.select("node", "label", F.col("major").alias("large")).distinct(), "near-large")
         found = storage.staged(found.unionByName(verifier.near_large(close, labelled)), "found")
     prints = nodes.select("node", *_NAMES)

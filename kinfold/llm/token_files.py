@@ -33,6 +33,8 @@ MAGIC, VERSION = b"KPFR", 1
 BLOCK, PERCENTILE = 1024, 90
 #: Blocks packed or unpacked at a time.
 TOGETHER = 128
+#: Characters that a task encodes at a time, and pre-tokens that a worker remembers: more than where other operators share the worker.
+SLICE_CHARS, REMEMBERED = 1_000_000, 120_000
 TRAILER = struct.Struct("<QQQIII4s")
 HEAD = struct.Struct("<IBHH")
 
@@ -173,9 +175,9 @@ def write_tokens(docs: DataFrame, folder: str, path: str, end_id: int = 2, file_
         import pyarrow as pa
         from pyspark import TaskContext
 
-        encode = wordbpe.encoder(path).encode
+        encode = wordbpe.encoder(path, REMEMBERED).encode
         seq, end, rows, out = TaskContext.get().partitionId(), np.array([end_id], dtype="<u2"), [], None
-        for batch in storage.slices(batches, "text"):
+        for batch in storage.slices(batches, "text", SLICE_CHARS):
             lists, ids = [np.concatenate((x, end)) for x in encode(batch["text"].to_pylist())], batch["doc_id"].to_pylist()
             # Documents go in by runs of an eighth of a file, one longer document being a run.
             run = np.cumsum([len(x) for x in lists]) * 16 // max(1, file_bytes)

@@ -164,18 +164,27 @@ class PretokenEncoder:
         self.library.no_padding()
         self.model = self.library.model
         letters = byte_letters()
-        self.table = {i: c for i, c in enumerate(letters)}
+        # Pre-tokens hold no blank; it parts them.
+        self.table = {i: c for i, c in enumerate(letters)} | {32: " "}
         self.memo = Memory(remembered)
         self.special = sorted(self.spec.special, key=len, reverse=True)
 
-    def _fill(self, words) -> None:
-        memo, old, tokenize, table = self.memo, self.memo.old, self.model.tokenize, self.table
-        for w in words:
-            if w not in memo:
-                got = old.get(w)
-                if got is None:
-                    got = np.array([t.id for t in tokenize(w.decode("latin-1").translate(table))], dtype="<u2").tobytes()
-                memo[w] = got
+    def _fill(self, words: list[bytes]) -> None:
+        memo, old = self.memo, self.memo.old
+        kept = {w: old[w] for w in words if w in old}
+        memo.update(kept)
+        new = [w for w in words if w not in kept] if kept else words
+        for a in range(0, len(new), 2048):
+            part = new[a : a + 2048]
+            memo.update(zip(part, self._together(part)))
+
+    def _together(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each pre-token by the library's model; what Python does around the calls is done for all words at once."""
+        letters = b" ".join(words).decode("latin-1").translate(self.table).split(" ")
+        lists = list(map(self.model.tokenize, letters))
+        flat = np.array([t.id for tokens in lists for t in tokens], dtype="<u2").tobytes()
+        upto = (2 * np.cumsum([len(tokens) for tokens in lists])).tolist()
+        return [flat[a:b] for a, b in zip([0, *upto], upto)]
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each whole text, unsigned 16-bit."""
@@ -246,10 +255,10 @@ class PretokenEncoder:
         memo = self.memo
         memo.turn()
         words = [flat[a:b] for a, b in zip(begin[first].tolist(), end[first].tolist())]
-        ids = [memo.get(w) for w in words]
+        ids = list(map(memo.get, words))
         if None in ids:
             self._fill([w for w, got in zip(words, ids) if got is None])
-            ids = [memo[w] for w in words]
+            ids = list(map(memo.__getitem__, words))
         pool = np.frombuffer(b"".join(ids), dtype="<u2")
         count = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) >> 1
         offset = np.cumsum(count) - count

@@ -31,11 +31,11 @@ def query(sql: str | None = None):
 
 # ---- SQL that several queries begin with ---------------------------------------------------------------
 RECORDS = r"""
-doc AS (SELECT doc_id, lang, n_chars, string_split_regex(trim(text), '\s+') AS w FROM documents),
+doc AS (SELECT doc_id, lang, n_chars, text, string_split_regex(trim(text), '\s+') AS w FROM documents),
 rec AS (SELECT 'S' || (doc_id % 3 + 1) || '-' || doc_id AS entity_id, array_to_string(w[1:8], ' ') AS business_name,
-  array_to_string(w[greatest(len(w) - 7, 1):len(w)], ' ') AS business_address, lang AS country, doc_id % 3 + 1 AS source, n_chars FROM doc)"""
+  array_to_string(w[greatest(len(w) - 7, 1):len(w)], ' ') AS business_address, lang AS country, doc_id % 3 + 1 AS source, n_chars, coalesce(text, '') AS text FROM doc)"""
 TOKENS = RECORDS + r""",
-tok AS (SELECT entity_id AS id, country, source, unnest(regexp_extract_all(lower(business_name || ' ' || business_address), '[a-z]+')) AS token FROM rec)"""
+tok AS (SELECT entity_id AS id, country, source, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS token FROM rec)"""
 
 
 def tfidf_sql(population: str, tokens: str = "tok", copies: int = 1) -> str:
@@ -44,7 +44,7 @@ def tfidf_sql(population: str, tokens: str = "tok", copies: int = 1) -> str:
 tf AS (SELECT country, id, source, token, count(*) AS tf FROM {tokens} GROUP BY ALL),
 n AS (SELECT country, count(*) * {copies} AS n FROM rec WHERE {population} GROUP BY country),
 df AS (SELECT country, token, count(*) * {copies} AS df FROM tf WHERE {population} GROUP BY country, token),
-idf AS (SELECT country, token, ln((1 + n) / (1 + df)) + 1 AS idf FROM df JOIN n USING (country) WHERE df <= 200),
+idf AS (SELECT country, token, ln((1 + n) / (1 + df)) + 1 AS idf FROM df JOIN n USING (country) WHERE df <= 5000),
 raw AS (SELECT country, id, source, token, (1 + ln(tf)) * idf AS w FROM tf JOIN idf USING (country, token)),
 wt AS (SELECT country, id, source, token, w / sqrt(sum(w * w) OVER (PARTITION BY country, id)) AS w FROM raw)"""
 
@@ -158,7 +158,7 @@ def loose_keys(spark: SparkSession, d: str) -> DataFrame:
 
 
 # ---- token views ----------------------------------------------------------------------------------------------
-@query(f"WITH {RECORDS}, t AS (SELECT entity_id, regexp_extract_all(lower(business_name || ' ' || business_address), '[a-z]+') AS a FROM rec) SELECT entity_id, array_to_string(list_transform(range(1, greatest(len(a), 1)), lambda i: 'b:' || a[i] || '_' || a[i + 1]), ' ') AS pairs FROM t")
+@query(f"WITH {RECORDS}, t AS (SELECT entity_id, regexp_extract_all(lower(text), '[a-z]+') AS a FROM rec) SELECT entity_id, array_to_string(list_transform(range(1, greatest(len(a), 1)), lambda i: 'b:' || a[i] || '_' || a[i + 1]), ' ') AS pairs FROM t")
 def token_bigrams(spark: SparkSession, d: str) -> DataFrame:
     return v.light(spark, d).select("entity_id", F.array_join(tv.bigrams("b:", F.col("toks")), " ").alias("pairs"))
 
@@ -184,12 +184,12 @@ def token_df(spark: SparkSession, d: str) -> DataFrame:
 def tfidf_weights(spark: SparkSession, d: str) -> DataFrame:
     rows = v.light(spark, d)
     counts = simjoin.term_counts(rows, v.word_view())
-    return simjoin.weighted(counts, simjoin.idf(rows, counts, 200)).withColumn("w", F.round("w", 6))
+    return simjoin.weighted(counts, simjoin.idf(rows, counts, v.WORDS.max_df)).withColumn("w", F.round("w", 6))
 
 
 TOPK = """,
 sc AS (SELECT q.id AS s1_id, t.id AS cand_id, t.source AS src, round(sum(q.w * t.w), 6) AS score FROM wt q JOIN wt t USING (country, token) WHERE q.source = 1 AND t.source > 1 GROUP BY ALL),
-top AS (SELECT *, row_number() OVER (PARTITION BY s1_id, src ORDER BY score DESC, cand_id) AS rank FROM sc QUALIFY rank <= 5)"""
+top AS (SELECT *, row_number() OVER (PARTITION BY s1_id, src ORDER BY score DESC, cand_id) AS rank FROM sc QUALIFY rank <= 20)"""
 
 
 def _retrieved(spark: SparkSession, d: str, r: tv.Retriever) -> DataFrame:

@@ -16,34 +16,30 @@ def _words() -> Column:
     return F.split(F.trim(F.coalesce("text", F.lit(""))), r"\s+")
 
 
-def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents as records: the first eight words are the name, the last eight the address, the language the country, the id's rest by three the source."""
+def records(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    """documents as records: the first eight words are the name, the last eight the address, the language the country, the id's rest by three the source.
+
+    What counts or joins tokens reads the whole text instead (``light``).  more: further columns of documents.
+    """
     docs = table(spark, sf_dir, "documents").withColumn("w", _words())
     source = (F.col("doc_id") % 3 + 1).cast("long")
     return docs.select(
         F.concat(F.lit("S"), source, F.lit("-"), F.col("doc_id")).alias("entity_id"), F.array_join(F.slice("w", 1, 8), " ").alias("business_name"),
-        F.array_join(F.slice("w", F.greatest(F.size("w") - 7, F.lit(1)), F.lit(8)), " ").alias("business_address"), F.col("lang").alias("country"), source.alias("source"), "n_chars",
+        F.array_join(F.slice("w", F.greatest(F.size("w") - 7, F.lit(1)), F.lit(8)), " ").alias("business_address"), F.col("lang").alias("country"), source.alias("source"), "n_chars", *more,
     )
 
 
 def light(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """records with ``toks``: the runs of plain letters in name and address."""
-    both = F.lower(F.concat_ws(" ", "business_name", "business_address"))
-    return records(spark, sf_dir).select("entity_id", "country", "source", "business_name", F.regexp_extract_all(both, F.lit("([a-z]+)"), F.lit(1)).alias("toks"))
+    """records with ``toks``: the runs of plain letters in the whole text."""
+    toks = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("([a-z]+)"), F.lit(1))
+    return records(spark, sf_dir, "text").select("entity_id", "country", "source", "business_name", toks.alias("toks"))
 
 
 def word_view() -> Column:
     return F.col("toks")
 
 
-def pair_view() -> Column:
-    from ..operators.views import bigrams
-
-    return bigrams("", F.col("toks"))
-
-
-WORDS = Retriever("words", word_view, k=5, max_df=200)
-PAIRS = Retriever("pairs", pair_view, k=5, max_df=200)
+WORDS = Retriever("words", word_view)
 
 
 def split_sources(df: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -215,43 +215,24 @@ class PretokenEncoder:
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         """Each different pre-token of the batch is looked up once; ids are then laid out with numpy."""
-        import pandas as pd
-
         texts = [normalise(t) for t in texts]
         joined = "\n".join(texts)
         cp = code_points(joined)
         kind, start = starts_of(cp)
         if not start.any():
             return [np.zeros(0, dtype="<u2") for _ in texts]
-        keep = kind != SPACE
-        raw = np.frombuffer(joined.encode("utf-8", "surrogatepass"), dtype=np.uint8)
-        if raw.size == cp.size:
-            data, at = raw[keep], np.cumsum(keep)
-            begin = at[start] - 1
+        first_letter = np.flatnonzero(start)
+        ends = np.ones(cp.size, dtype=bool)  # a pre-token ends before the next and before white space
+        np.logical_or(start[1:], kind[1:] == SPACE, out=ends[:-1])
+        last_letter = np.flatnonzero(ends & (kind != SPACE))
+        flat = joined.encode("utf-8", "surrogatepass")
+        if len(flat) == cp.size:
+            begin, end = first_letter, last_letter + 1
         else:
             width = 1 + (cp >= 0x80).astype(np.int8) + (cp >= 0x800) + (cp >= 0x10000)
-            data = raw[np.repeat(keep, width)]
-            at = np.cumsum(width * keep, dtype=np.int64)
-            begin = at[start] - width[start]
-        end = np.append(begin[1:], data.size)
-        value, power, inverse = _hash_tables(data.size)
-        sums = np.zeros(data.size + 1, dtype=np.uint64)
-        np.cumsum(value[data] * power[: data.size], out=sums[1:])
-        codes, keys = pd.factorize((sums[end] - sums[begin]) * inverse[begin])
-        first = np.empty(len(keys), dtype=np.int64)
-        first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
-        size = end - begin
-        same = size == size[first[codes]]
-        if same.all():  # every pre-token is, byte by byte, the first one of its hash
-            shift = np.repeat(begin[first[codes]] - begin, size)
-            shift += np.arange(data.size)
-            same = data == data[shift]
-        flat = data.tobytes()
-        if not same.all():  # sums of powers modulo 2**64 do collide, for strings made to: then by the bytes themselves
-            number: dict[bytes, int] = {}
-            codes = np.fromiter((number.setdefault(flat[a:b], len(number)) for a, b in zip(begin.tolist(), end.tolist())), dtype=np.int64, count=len(begin))
-            first = np.empty(len(number), dtype=np.int64)
-            first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
+            at = np.cumsum(width, dtype=np.int64)
+            begin, end = at[first_letter] - width[first_letter], at[last_letter]
+        codes, first = different(flat, begin, end)
         memo = self.memo
         memo.turn()
         words = [flat[a:b] for a, b in zip(begin[first].tolist(), end[first].tolist())]
@@ -268,9 +249,8 @@ class PretokenEncoder:
         take += np.arange(take.size)
         out = pool[take]
         tokens = np.concatenate(([0], upto))
-        pieces = np.cumsum(start)
         last = np.cumsum([len(t) + 1 for t in texts]) - 2
-        bound = tokens[np.where(last >= 0, pieces[np.clip(last, 0, pieces.size - 1)], 0)]
+        bound = tokens[np.searchsorted(first_letter, last, side="right")]
         return np.split(out, bound[:-1])
 
     def split_special(self, text: str) -> list[str]:
@@ -282,21 +262,57 @@ class PretokenEncoder:
         return re.split("(" + "|".join(map(re.escape, self.special)) + ")", text) if self.special else [text]
 
 
-_TABLES: list[np.ndarray] = []
-
-
-def _hash_tables(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A random value of each byte, powers of an odd number modulo 2**64, and powers of its inverse."""
-    if not _TABLES or _TABLES[1].size < n + 1:
-        odd = 0x9E3779B97F4A7C15
-        value = np.random.default_rng(42).integers(1, 2**63, size=256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        both = []
-        for base in (odd, pow(odd, -1, 2**64)):
-            powers = np.full(max(n + 1, 1 << 20), base, dtype=np.uint64)
-            powers[0] = 1
-            both.append(np.cumprod(powers))
-        _TABLES[:] = [value, *both]
-    return _TABLES[0], _TABLES[1], _TABLES[2]
+#: The first k of eight bytes; odd numbers that mix keys; bytes from which on a pre-token is numbered in Python.
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
+_ODD, _ODD2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
+LONG = 64
+
+
+def different(flat: bytes, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number of each stretch of flat, equal ones alike; the first stretch of each number).
+
+    Stretches are read eight bytes at a time and told apart by a key made of these; then all are held against the first of their key.
+    """
+    import pandas as pd
+
+    size = end - begin
+    eight = np.ndarray(len(flat) + 1, dtype="<u8", buffer=flat + bytes(8), strides=(1,))
+    part = lambda which, k: eight[begin[which] + k] & _MASKS[np.minimum(size[which] - k, 8)]
+    which = np.arange(len(begin))
+    got = part(which, 0)
+    parts = [(which, 0, got)]
+    key = (got + size.astype(np.uint64) * _ODD2) * _ODD
+    for k in range(8, LONG, 8):
+        which = which[size[which] > k]
+        if not which.size:
+            break
+        got = part(which, k)
+        parts.append((which, k, got))
+        x = key[which]
+        key[which] = ((x ^ x >> np.uint64(29)) + got) * _ODD
+    number: dict[bytes, int] = {}
+    numbered = lambda which: np.fromiter((number.setdefault(flat[a:b], len(number)) for a, b in zip(begin[which].tolist(), end[which].tolist())), dtype=np.int64, count=len(which))
+    which = which[size[which] > LONG]
+    if which.size:
+        numbers = np.full(len(begin), -1, dtype=np.int64)
+        numbers[which] = numbered(which)
+        key[which] ^= (numbers[which].astype(np.uint64) + np.uint64(1)) * _ODD2
+    key ^= key >> np.uint64(32)
+    codes, keys = pd.factorize(key)
+    first = _firsts(codes, len(keys))
+    own = first[codes]
+    same = np.array_equal(size, size[own]) and all(np.array_equal(part(own[of], k), got) for of, k, got in parts) and (not which.size or np.array_equal(numbers, numbers[own]))
+    if not same:  # keys of 64 bits do collide, for strings made to: then by the bytes themselves
+        number.clear()
+        codes = numbered(np.arange(len(begin)))
+        first = _firsts(codes, len(number))
+    return codes, first
+
+
+def _firsts(codes: np.ndarray, n: int) -> np.ndarray:
+    first = np.empty(n, dtype=np.int64)
+    first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
+    return first
 
 
 _ENCODERS: dict[tuple[str, int], PretokenEncoder] = {}

@@ -190,3 +190,19 @@ def test_token_files(spark, tmp_path):
     assert sorted((r[0] or -1, r[3]) for r in got) == sorted((d or -1, crc(t)) for d, t in rows)
     empty = token_files.write_tokens(df.limit(0), storage.new_folder(spark, "empty"), PATH)
     assert token_files.read_tokens(empty).count() == 0
+
+
+@pytest.mark.parametrize("collide", [False, True])
+def test_equal_stretches_get_one_number(monkeypatch, collide):
+    """Also where they differ in zero bytes, past the 64th byte or in length alone, and where all keys are equal."""
+    if collide:
+        monkeypatch.setattr(wordbpe, "_ODD", np.uint64(0))
+        monkeypatch.setattr(wordbpe, "_ODD2", np.uint64(0))
+    rnd = random.Random(5)
+    kinds = [b"a", b"a\0", b"\0", b"abcdefgh", b"abcdefgh\0", b"abcdefgh" * 8, b"abcdefgh" * 8 + b"x", b"abcdefgh" * 8 + b"y", b"z" * 63, b"z" * 64, b"z" * 65, b"z" * 1000, b"z" * 999 + b"y"]
+    kinds += [bytes(rnd.choice(b"ab") for _ in range(rnd.randrange(1, 30))) for _ in range(300)]
+    words = [rnd.choice(kinds) for _ in range(3000)]
+    end = np.cumsum([len(w) + 1 for w in words]) - 1
+    codes, first = wordbpe.different(b" ".join(words), np.concatenate([[0], end[:-1] + 1]), end)
+    assert len(first) == len(set(words)) == len(set(codes.tolist()))
+    assert [words[i] for i in first[codes]] == words

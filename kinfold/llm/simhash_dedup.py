@@ -126,11 +126,13 @@ def links(fps: DataFrame, radius: int, segments: int, crowd: int = CROWD) -> Dat
             of = F.element_at(F.array(*(F.lit(64 + next(k for k, m in enumerate(masks) if m >> bit & 1)) for bit in range(64))), F.col("x.sig") + 1)
             around = crowded.select(F.explode(F.array(*near)).alias("x")).where(of == F.col("x.of")).select("x.sig", "x.key").distinct()
             shut = storage.staged(crowded.unionByName(around), "crowded")
+            shut = storage.bounded(shut)
             found = _crowd_links(variants.join(shut, ["sig", "key"], "left_semi"), masks, radius)
             variants = variants.join(shut, ["sig", "key"], "left_anti")
+    # Spark sizes an exploded table as if it had a row for each of its input's, and would send variants through the driver: hence the hint.
     left = variants.where("side <> 1").select("sig", "key", F.col("fp").alias("a"))
     right = variants.where("side <> 0").select("sig", "key", F.col("fp").alias("b"))
-    pairs = left.join(right, ["sig", "key"]).where((F.col("sig") < 64) | (F.col("a") < F.col("b")))
+    pairs = left.hint("merge").join(right.hint("merge"), ["sig", "key"]).where((F.col("sig") < 64) | (F.col("a") < F.col("b")))
     pairs = pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     return (pairs if found is None else pairs.unionByName(found)).distinct()
@@ -154,13 +156,16 @@ def _crowd_links(rows: DataFrame, masks: list[int], radius: int) -> DataFrame:
 
 
 def classes(docs_fp: DataFrame, pairs: DataFrame) -> DataFrame:
-    """fp, component_id (the smallest doc_id among all fingerprints linked to it) for every different fp of docs_fp (doc_id, fp)."""
+    """fp, component_id (the smallest doc_id among all fingerprints linked to it) for every different fp of docs_fp (doc_id, fp).
+
+    Joins here are by shuffle, whatever Spark takes a compressed file for: these tables grow with the input.
+    """
     first = docs_fp.groupBy("fp").agg(F.min("doc_id").alias("first"))
     member = components(pairs).select(F.col("node").alias("fp"), F.col("component").alias("root"))
-    known = first.join(member, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    known = first.hint("merge").join(member.hint("merge"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     known = storage.staged(known, "classes")
     low = known.groupBy("root").agg(F.min("first").alias("component_id"))
-    return known.join(low, "root").select("fp", "component_id")
+    return known.hint("merge").join(low.hint("merge"), "root").select("fp", "component_id")
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, segments: int = 2) -> DataFrame:
@@ -172,7 +177,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, segments:
     known = storage.staged(fingerprints(docs, words), "fingerprints")
     pairs = links(known.select("fp").distinct(), radius, segments)
     # A fingerprint may be most documents': its side of this join is the one that Spark splits when it is skewed.
-    return known.join(classes(known, pairs), "fp", "left").select("doc_id", "fp", "component_id")
+    return known.hint("merge").join(classes(known, pairs).hint("merge"), "fp", "left").select("doc_id", "fp", "component_id")
 
 
 def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -56,6 +56,17 @@ def test_links(spark, radius, segments, crowd):
         assert got == want
 
 
+def test_no_variant_is_broadcast(spark, tmp_path, monkeypatch):
+    """Spark sizes exploded variants as if there were one for each fingerprint: with its own threshold it would send all of them through the driver."""
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == "10485760b"
+    spark.range(3_000).select(F.xxhash64("id").alias("fp"), F.col("id").alias("doc_id")).write.parquet(f"{tmp_path}/fps")
+    known = spark.read.parquet(f"{tmp_path}/fps")
+    pairs = simhash_dedup.links(known.select("fp").distinct(), 2, 2)
+    for df in (pairs, simhash_dedup.classes(known, spark.createDataFrame([(1, 2)], "a long, b long"))):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 @pytest.mark.parametrize("few", [100_000, 0])
 def test_components(spark, few, monkeypatch):
     monkeypatch.setattr(components, "FEW_EDGES", few)
